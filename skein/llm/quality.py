@@ -31,7 +31,7 @@ from .near_dedup import sized
 WORD = r"[^ \t\n\r\f\x0B]+"
 SYMBOLS = "!#$%&*|<>{}~^=+@_\\"
 #: rule -> (hard bound, soft bound)
-BOUNDS = {"symbols": (0.05, 0.03), "capitals": (0.4, 0.3), "digits": (0.3, 0.2), "lines": (0.3, 0.2), "variety": (2.0, 3.0), "word_length": (25.0, 18.0)}
+BOUNDS = {"symbols": (0.05, 0.03), "capitals": (0.4, 0.3), "digits": (0.5, 0.4), "lines": (0.5, 0.4), "variety": (3.0, 3.5), "word_length": (25.0, 18.0)}
 RULES = ["no_words", *BOUNDS]
 
 
@@ -142,9 +142,9 @@ s AS (
 f AS (
   SELECT doc_id, host,
     CASE WHEN nw = 0 THEN 'no_words' ELSE concat_ws(',', CASE WHEN symbols > 0.05 THEN 'symbols' END, CASE WHEN capitals > 0.4 THEN 'capitals' END,
-      CASE WHEN digits > 0.3 THEN 'digits' END, CASE WHEN lines > 0.3 THEN 'lines' END, CASE WHEN variety < 2.0 THEN 'variety' END, CASE WHEN wl > 25 THEN 'word_length' END) END AS hard,
+      CASE WHEN digits > 0.5 THEN 'digits' END, CASE WHEN lines > 0.5 THEN 'lines' END, CASE WHEN variety < 3.0 THEN 'variety' END, CASE WHEN wl > 25 THEN 'word_length' END) END AS hard,
     CASE WHEN nw = 0 THEN 'no_words' ELSE concat_ws(',', CASE WHEN symbols > 0.03 THEN 'symbols' END, CASE WHEN capitals > 0.3 THEN 'capitals' END,
-      CASE WHEN digits > 0.2 THEN 'digits' END, CASE WHEN lines > 0.2 THEN 'lines' END, CASE WHEN variety < 3.0 THEN 'variety' END, CASE WHEN wl > 18 THEN 'word_length' END) END AS soft
+      CASE WHEN digits > 0.4 THEN 'digits' END, CASE WHEN lines > 0.4 THEN 'lines' END, CASE WHEN variety < 3.5 THEN 'variety' END, CASE WHEN wl > 18 THEN 'word_length' END) END AS soft
   FROM s),
 h AS (SELECT host, count(*) AS n_docs, sum(CASE WHEN hard <> '' THEN 1 ELSE 0 END)::BIGINT AS n_failed FROM f GROUP BY host),
 q AS (SELECT avg(r) AS m, avg(r * r) - avg(r) * avg(r) AS v FROM (SELECT round(n_failed::DOUBLE / n_docs * 1e9) / 1e9 AS r FROM h)),
