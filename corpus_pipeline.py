@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import common, near_dedup
+from skein.llm import bpe, common, mixing, near_dedup, quality
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the text rules, as strictly as their host's verdict asks, go."""
+    return quality.drop_rejected(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,7 +17,17 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return near_dedup.drop_near_copies(docs)
 
 
-STAGES = [("near_dedup", near_dedup_stage)]
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as the mixture of domains, languages and sources takes them."""
+    return mixing.mix(docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, token_ids) of each row."""
+    return bpe.encode(docs)
+
+
+STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]
 
 #: Neither sketches nor ranked merges can be expressed in SQL.
 ORACLE_SQL = None
@@ -20,8 +35,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        before = docs
-        docs, path = common.write_table(stage(spark, before, sf_dir), f"pipeline-{name}")
+        docs, path = common.write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last:
+            common.remove(spark, last)
+        last = path
     return docs
