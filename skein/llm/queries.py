@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licenses, mixing, near_dedup, quality
+from . import bpe, chat, knn, licenses, mixing, near_dedup, quality, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,15 @@ def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.blocked(pages, url_filter.tracking_rules(pages))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_chat_rotation": op2_chat_rotation,
@@ -44,10 +53,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_mixture": op5_mixture,
     "op6_host_quality": op6_host_quality,
+    "op7_url_filter": op7_url_filter,
+    "op8_exact_top_k": op8_exact_top_k,
 }
 
 ORACLES: dict[str, str] = {
     "op2_chat_rotation": chat.ORACLE,
     "op5_mixture": mixing.ORACLE,
     "op6_host_quality": quality.ORACLE,
+    "op7_url_filter": url_filter.ORACLE,
+    "op8_exact_top_k": knn.ORACLE,
 }
