@@ -171,7 +171,7 @@ def nearest(vectors: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, leaf:
         fs.create_dir(path, recursive=True)
         name = f"{uri}/{dim}-{shard}.npz"
         _save(tree, name)
-        return pa.table({"dim": [dim], "path": [name], "leaves": pa.array([tree.leaves().tolist()], pa.list_(pa.int64())), "lo": pa.array([tree.lo[0].tolist()], pa.list_(pa.float64())), "hi": pa.array([tree.hi[0].tolist()], pa.list_(pa.float64()))})
+        return pa.table({"dim": pa.array([dim], pa.int32()), "path": [name], "leaves": pa.array([tree.leaves().tolist()], pa.list_(pa.int64())), "lo": pa.array([tree.lo[0].tolist()], pa.list_(pa.float64())), "hi": pa.array([tree.hi[0].tolist()], pa.list_(pa.float64()))})
 
     keyed = src.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
     made, _ = common.write_table(keyed.groupBy("dim", "shard").applyInArrow(build, "dim int, path string, leaves array<long>, lo array<double>, hi array<double>"), "shards")
