@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, knn, licenses, mixing, near_dedup, quality, url_filter
+from . import bpe, chat, knn, licenses, mixing, near_dedup, quality, sharding, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,14 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_counts(table(spark, sf_dir, "documents"))
+
+
+def op10_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_chat_rotation": op2_chat_rotation,
@@ -55,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_host_quality": op6_host_quality,
     "op7_url_filter": op7_url_filter,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_token_counts": op9_token_counts,
+    "op10_label_sharding": op10_label_sharding,
 }
 
 ORACLES: dict[str, str] = {
