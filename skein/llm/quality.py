@@ -22,6 +22,9 @@ back; the text is never shuffled.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +38,8 @@ BOUNDS = {"symbols": (0.05, 0.03), "capitals": (0.4, 0.3), "digits": (0.5, 0.4),
 RULES = ["no_words", *BOUNDS]
 
 
-def failures(text: Column) -> tuple[Column, Column]:
-    """The names of the rules whose hard and whose soft bound the text fails, as strings joined by commas.
+def failures(text: Column) -> Column:
+    """struct(hard, soft): the names of the rules whose hard and whose soft bound the text fails, joined by commas.
 
     - no_words: null, empty or white space only (hard and soft; no other rule is tried)
     - symbols: share of characters that are symbols, more than the bound
@@ -47,23 +50,34 @@ def failures(text: Column) -> tuple[Column, Column]:
     - word_length: characters a word, more
     """
     t = F.coalesce(text.cast("string"), F.lit(""))
-    words, lines = F.regexp_extract_all(t, F.lit(WORD), 0), F.split(t, "\n")
+    parts = F.struct(t.alias("t"), F.regexp_extract_all(t, F.lit(WORD), 0).alias("words"), F.split(t, "\n").alias("lines"))
+    return _once(_once(parts, _measures), lambda m: F.struct(_failed(m, 0).alias("hard"), _failed(m, 1).alias("soft")))
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once however often body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _measures(x: Column) -> Column:
+    """What the rules measure, from struct(t, words, lines)."""
+    t, words, lines = x["t"], x["words"], x["lines"]
     n, n_words, n_lines = F.length(t).cast("double"), F.size(words).cast("double"), F.size(lines).cast("double")
     share = lambda rest: (n - F.length(rest)) / n
-    measure = {
-        "symbols": share(F.translate(t, SYMBOLS, "")),
-        "capitals": share(F.regexp_replace(t, r"\p{Lu}+", "")),
-        "digits": share(F.translate(t, "0123456789", "")),
-        "lines": F.when(n_lines >= 5, 1 - F.size(F.array_distinct(lines)) / n_lines).otherwise(0.0),
-        "variety": F.when(n_words >= 50, F.size(F.array_distinct(words)) / F.sqrt(n_words)).otherwise(1e9),
-        "word_length": n / n_words,
-    }
+    return F.struct(
+        n_words.alias("n_words"),
+        share(F.regexp_replace(t, f"[{re.escape(SYMBOLS)}]+", "")).alias("symbols"),
+        share(F.regexp_replace(t, r"\p{Lu}+", "")).alias("capitals"),
+        share(F.regexp_replace(t, "[0-9]+", "")).alias("digits"),
+        F.when(n_lines >= 5, 1 - F.size(F.array_distinct(lines)) / n_lines).otherwise(0.0).alias("lines"),
+        F.when(n_words >= 50, F.size(F.array_distinct(words)) / F.sqrt(n_words)).otherwise(1e9).alias("variety"),
+        (n / n_words).alias("word_length"),
+    )
 
-    def failed(k: int) -> Column:
-        tests = [F.when(measure[r] < b[k] if r == "variety" else measure[r] > b[k], F.lit(r)) for r, b in BOUNDS.items()]
-        return F.when(n_words == 0, F.lit("no_words")).otherwise(F.concat_ws(",", *tests))
 
-    return failed(0), failed(1)
+def _failed(m: Column, k: int) -> Column:
+    tests = [F.when(m[r] < b[k] if r == "variety" else m[r] > b[k], F.lit(r)) for r, b in BOUNDS.items()]
+    return F.when(m["n_words"] == 0, F.lit("no_words")).otherwise(F.concat_ws(",", *tests))
 
 
 def _count(names: Column) -> Column:
@@ -106,8 +120,8 @@ def quality_verdicts(docs: DataFrame, host: str = "source", **bounds) -> DataFra
     rows of their own. Columns other than doc_id, text and the host aren't read.
     An empty table gives an empty result.
     """
-    hard, soft = failures(docs["text"])
-    failed, _ = common.write_table(docs.select(docs["doc_id"], _host(docs, host).alias("host"), hard.alias("hard"), soft.alias("soft")), "failures")
+    failed, _ = common.write_table(docs.select(docs["doc_id"], _host(docs, host).alias("host"), failures(docs["text"]).alias("f")), "failures")
+    failed = failed.select("doc_id", "host", "f.hard", "f.soft")
     hosts, _ = common.write_table(host_verdicts(failed, **bounds), "hosts")
     x = failed.join(sized(hosts, hosts.count(), 64), "host")
     return x.select("doc_id", "host", "hard", "soft", "n_docs", "n_failed", "rate", "verdict", rejected(F.col("verdict"), F.col("hard"), F.col("soft")).alias("rejected"))
@@ -119,12 +133,12 @@ def drop_rejected(docs: DataFrame, host: str = "source", **bounds) -> DataFrame:
     The rules are evaluated once for the hosts' counts and once for the filter,
     which is cheaper than a shuffle of the texts.
     """
-    hard, soft = failures(docs["text"])
-    hosts, _ = common.write_table(host_verdicts(docs.select(_host(docs, host).alias("host"), hard.alias("hard")), **bounds), "hosts")
+    failed = docs.select(_host(docs, host).alias("host"), failures(docs["text"]).alias("f")).select("host", "f.hard")
+    hosts, _ = common.write_table(host_verdicts(failed, **bounds), "hosts")
     hosts = hosts.select(F.col("host").alias("__host"), F.col("verdict").alias("__verdict"))
-    x = docs.withColumns({"__h": _host(docs, host), "__hard": hard, "__soft": soft})
+    x = docs.withColumns({"__h": _host(docs, host), "__f": failures(docs["text"])})
     x = x.join(sized(hosts, hosts.count(), 64), F.col("__h") == F.col("__host"))
-    x = x.filter(~rejected(F.col("__verdict"), F.col("__hard"), F.col("__soft")))
+    x = x.filter(~rejected(F.col("__verdict"), F.col("__f.hard"), F.col("__f.soft")))
     return x.select(*[x[f"`{c}`"] for c in docs.columns])
 
 
