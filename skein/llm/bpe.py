@@ -1,17 +1,19 @@
 """Byte-level BPE encoding and decoding.
 
 The distinct words of a corpus are encoded once. A Spark higher-order function
-folds ranked merges over the bytes of a word: each step finds the adjacent pair
-of pieces whose concatenation has the least rank and merges the leftmost such
-pair, until no pair has a rank. The rank map is a literal in the plan: three
-arrays that form a perfect hash table, so that a lookup takes constant time.
-
-1. Texts are split by the vocabulary's pattern, words are counted by the number
-   of documents they occur in, and the most frequent ``dictionary_words`` are
-   folded and written to the shared folder: the dictionary.
-2. Each document's words are looked up in the dictionary, a batch of documents at
-   a time. Words outside it, rare by construction, are folded in place by the
-   same expression. No word's position is ever shuffled.
+folds ranked merges over the bytes of a word: each step finds the least rank
+among the adjacent pairs of pieces and merges the leftmost pair that has it, until
+no pair has a rank. The rank map is a literal in the plan, keyed by
+pairs of pieces: a sparse matrix whose rows are laid over each other, so that
+three array accesses look up a rank.
+
+1. Texts are split by the vocabulary's pattern, in one vectorised pass over the
+   classes of their characters. Words that are no pieces themselves are counted,
+   the most frequent ``dictionary_words`` are folded and written to the shared
+   folder: the dictionary.
+2. Each document's words are looked up among pieces and dictionary, a batch of
+   documents at a time. Words outside, rare by construction, are folded in place
+   by the same expression. No word's position is ever shuffled.
 
 Words of more than LONG bytes (a text of one long run of letters, say) would
 need quadratic time in the fold; they are merged with a heap, to the same result.
@@ -24,26 +26,26 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-_S = r"\p{IsWhite_Space}"
-#: The pattern of the rank files in Java's syntax, with white space and letters as Unicode has them.
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|{_S}+(?![^{_S}])|{_S}+"
 LONG = 256
 #: The dictionary's size; the words beyond it are folded where they occur.
 DICTIONARY_WORDS = 1_000_000
-_BIG = 1 << 30
+_ID, _POS = 17, 9  # bits of a piece's id, and of its place in the word
+_NONE = 1 << _ID  # above all ranks
 
 
 @lru_cache(4)
@@ -60,80 +62,97 @@ def _pieces(path: str) -> pa.Array:
     return pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.large_binary())
 
 
+def _last_pair(piece: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
+    """The two pieces whose merge gives a piece, the only ones that can ever stand side by side and give it. None if no merge does."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 2:
+        r, i = min((ranks.get(parts[i] + parts[i + 1], _NONE), i) for i in range(len(parts) - 1))
+        if r == _NONE:
+            return None
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return (parts[0], parts[1]) if len(parts) == 2 else None
+
+
 @lru_cache(4)
-def _hash_table(path: str) -> tuple[list, list, list, int]:
-    """Displacements, pieces and ranks by slot, and the size of a perfect hash table of the rank map."""
+def _pair_table(path: str) -> tuple[list[int], list[int], list[int]]:
+    """(offset, left, rank): the pair (a, b) has a rank if left[offset[a] + b] is a, and it is rank[offset[a] + b]."""
     ranks = read_ranks(path)
-    size = 1 << int(len(ranks) * 2 - 1).bit_length()
-    buckets: list[list] = [[] for _ in range(size // 8)]
+    rows: dict[int, list[tuple[int, int]]] = {}
     for p, r in ranks.items():
-        h = xxhash.xxh64_intdigest(p, seed=42)
-        buckets[h & (size // 8 - 1)].append(((h >> 20) & 0xFFFFF, (h >> 40) & 0xFFFFF | 1, p, r))
-    move, keys, values = [0] * len(buckets), [None] * size, [None] * size
-    for b in sorted(range(len(buckets)), key=lambda b: -len(buckets[b])):
-        d = 0
-        while buckets[b]:
-            slots = [(x + d * y) & (size - 1) for x, y, _, _ in buckets[b]]
-            if len(set(slots)) == len(slots) and all(keys[s] is None for s in slots):
+        if (pair := _last_pair(p, ranks)) is not None:
+            rows.setdefault(ranks[pair[0]], []).append((ranks[pair[1]], r))
+    n, entries = max(ranks.values()) + 1, sum(map(len, rows.values()))
+    size = n + entries * 2
+    free, rng = np.ones(size, dtype=bool), np.random.default_rng(1)
+    offset, left, rank = [-n] * n, np.full(size, -1), np.zeros(size, dtype=np.int64)
+    for a in sorted(rows, key=lambda a: -len(rows[a])):
+        bs = np.array([b for b, _ in rows[a]])
+        while True:  # until all columns of the row fall on free slots
+            starts = rng.integers(-bs.min(), size - bs.max(), 32)
+            good = np.flatnonzero(free[starts[:, None] + bs].all(axis=1))
+            if len(good):
                 break
-            d += 1
-            if d > 100_000:
-                raise ValueError("the rank map has no perfect hash")
-        move[b] = d
-        for s, (_, _, p, r) in zip(slots if buckets[b] else [], buckets[b]):
-            keys[s], values[s] = p, r
-    return move, keys, values, size
+        d = int(starts[good[0]])
+        offset[a] = d
+        free[d + bs] = False
+        left[d + bs] = a
+        rank[d + bs] = [r for _, r in rows[a]]
+    return offset, left.tolist(), rank.tolist()
 
 
-def _let(value: Column, body) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of value, with value evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
 
 
 class Merger:
-    """The fold as an expression of Spark."""
+    """The fold as an expression of Spark.
+
+    The state is an array of longs, one a piece: the rank of the pair that it forms with
+    the next piece, the place of its first byte, and its id, from the highest bits to the
+    lowest. So the least element is the leftmost pair of the least rank.
+    """
 
     def __init__(self, path: str):
-        move, keys, values, self.size = _hash_table(path)
-        enc = [base64.b64encode(k).decode() if k is not None else None for k in keys]
-        self.move = F.from_json(F.lit(json.dumps(move)), "array<int>")
-        self.keys = F.from_json(F.lit(json.dumps(enc)), "array<binary>")
-        self.values = F.from_json(F.lit(json.dumps(values)), "array<int>")
-
-    def rank(self, piece: Column) -> Column:
-        def at_hash(h: Column) -> Column:
-            d = F.get(self.move, h.bitwiseAND(F.lit(self.size // 8 - 1)).cast("int"))
-            x = F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(0xFFFFF))
-            y = F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(0xFFFFF)).bitwiseOR(F.lit(1))
-            return (x + d * y).bitwiseAND(F.lit(self.size - 1)).cast("int")
-
-        slot = _let(F.xxhash64(piece), at_hash)
-        return _let(slot, lambda s: F.when(F.get(self.keys, s) == piece, F.get(self.values, s)))
+        ranks = read_ranks(path)
+        if max(ranks.values()) >= _NONE:
+            raise ValueError(f"ranks must be below {_NONE}")
+        offset, left, rank = _pair_table(path)
+        literal = lambda x, kind: F.from_json(F.lit(json.dumps(x)), f"array<{kind}>")  # noqa: E731  (folded to a literal)
+        self.offset, self.left, self.ranks = literal(offset, "int"), literal(left, "int"), literal(rank, "bigint")
+        self.bytes = literal([ranks[bytes([i])] for i in range(256)], "int")
+
+    def rank(self, a: Column, b: Column) -> Column:
+        """The rank (long) of a pair of ids (int); _NONE if it has none or one of them is null."""
+        slot = F.get(self.offset, a) + b
+        return F.when(F.get(self.left, slot) == a, F.get(self.ranks, slot)).otherwise(F.lit(_NONE).cast("long"))
 
     def fold(self, word: Column) -> Column:
-        """Ids (array of int) of a word (binary)."""
-        n = F.octet_length(word)
-        bytes_ = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-        none = F.struct(F.lit(_BIG).alias("r"), F.lit(-1).alias("i"))
+        """Ids (array of int) of a word (binary) of 1 to LONG bytes."""
+        low = lambda x: x.bitwiseAND(F.lit(_NONE - 1)).cast("int")
+        kept = lambda x: x.bitwiseAND(F.lit((1 << (_ID + _POS)) - 1))  # noqa: E731  (place and id)
+        ranked = lambda r, rest: F.shiftleft(r, _ID + _POS).bitwiseOR(rest)
+        codes = _let(F.decode(word, "ISO-8859-1"), lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.get(self.bytes, F.ascii(F.substring(s, i, F.lit(1))))))
+        start = _let(codes, lambda p: F.transform(p, lambda x, i: ranked(self.rank(x, F.get(p, i + 1)), F.shiftleft(i.cast("long"), _ID).bitwiseOR(x.cast("long")))))
 
-        def least(p: Column) -> Column:
-            at = F.sequence(F.lit(0), F.size(p) - 2)
-            pair = lambda i: F.struct(F.coalesce(self.rank(F.concat(F.get(p, i), F.get(p, i + 1))), F.lit(_BIG)).alias("r"), i.alias("i"))
-            return F.when(F.size(p) < 2, none).otherwise(F.array_min(F.transform(at, pair)))
+        def merged(e: Column, least: Column) -> Column:
+            new = F.shiftright(least, _ID + _POS)  # the rank of a pair is the id of its piece
+            place = kept(least).bitwiseAND(F.lit(-_NONE))
+            rest = F.filter(e, lambda x, j: F.coalesce(F.get(e, j - 1) != least, F.lit(True)))
 
-        def step(acc: Column, _: Column) -> Column:
-            p = acc["p"]
+            def moved(x: Column, after: Column) -> Column:
+                return (
+                    F.when(x == least, ranked(self.rank(new.cast("int"), low(after)), place.bitwiseOR(new)))
+                    .when(after == least, ranked(self.rank(low(x), new.cast("int")), kept(x)))
+                    .otherwise(x)
+                )
 
-            def merged(b: Column) -> Column:
-                i = b["i"]
-                new = F.concat(F.slice(p, F.lit(1), i), F.array(F.concat(F.get(p, i), F.get(p, i + 1))), F.slice(p, i + 3, F.greatest(F.size(p) - i - 2, F.lit(0))))
-                return F.when(b["r"] == _BIG, F.struct(p.alias("p"), F.lit(True).alias("end"))).otherwise(F.struct(new.alias("p"), F.lit(False).alias("end")))
+            return _let(rest, lambda p: F.transform(p, lambda x, j: moved(x, F.get(p, j + 1))))
 
-            return F.when(acc["end"], acc).otherwise(_let(least(p), merged))
+        def step(e: Column, _: Column) -> Column:
+            return _let(F.array_min(e), lambda least: F.when(least >= F.lit(_NONE << (_ID + _POS)), e).otherwise(merged(e, least)))
 
-        start = F.struct(bytes_.alias("p"), F.lit(False).alias("end"))
-        merged = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: F.transform(acc["p"], self.rank))
-        return _let(self.rank(word), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(merged))
+        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, step, lambda e: F.transform(e, low))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -168,36 +187,128 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+_OTHER, _LETTER, _NUMBER, _BLANK = range(4)
+_CHUNK = 4 << 20
+
+
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """The class of each code point."""
+    out = np.zeros(0x110000, dtype=np.uint8)
+    for i in range(0x110000):
+        c = unicodedata.category(chr(i))[0]
+        if c == "L":
+            out[i] = _LETTER
+        elif c == "N":
+            out[i] = _NUMBER
+    out[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = _BLANK
+    return out
+
+
+def _starts(data: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Where words start in UTF-8 bytes, given where texts start.
+
+    Words are what the pattern ``'(?:[sdmt]|ll|ve|re)| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+`` matches one after the other.
+    """
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[at]
+    cp = lead.astype(np.int32)
+    for size, mask, low in ((2, 0x1F, 0xC0), (3, 0x0F, 0xE0), (4, 0x07, 0xF0)):
+        many = np.flatnonzero((lead >= low) & (lead < (0xE0, 0xF0, 0xF8)[size - 2]))
+        if len(many):
+            v = (lead[many] & mask).astype(np.int32)
+            for k in range(1, size):
+                v = (v << 6) | (data[at[many] + k] & 0x3F)
+            cp[many] = v
+    cls = _classes()[cp]
+    n = len(at)
+    first = np.zeros(n + 1, dtype=bool)  # of a text
+    first[np.searchsorted(at, docs)] = True
+    first[n] = True
+    run = first.copy()
+    run[1:n] |= cls[1:] != cls[:-1]
+    spaced = np.zeros(n, dtype=bool)  # the character before is a blank that the word takes
+    spaced[1:] = (cp[:-1] == 32) & ~first[1:n]
+    blank = cls == _BLANK
+    start = run[:n] & (blank | ~spaced)
+    last = np.flatnonzero(blank & run[1:] & ~first[1:])  # of white space before something else
+    start[last] = True
+    quote = np.flatnonzero((cp == 39) & run[:n] & ~spaced)
+    if len(quote):
+        end = np.append(cp, [0, 0, 0])
+        within = lambda k: ~first[np.minimum(quote + k, n)]
+        a, b = end[quote + 1], end[quote + 2]
+        one = np.isin(a, [115, 116, 109, 100]) & within(1)
+        two = (((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108)) & within(1) & within(2)
+        start[quote[one | two] + 1] = False
+        for hit, k in ((quote[one], 2), (quote[two], 3)):
+            more = hit + k
+            start[more[(more < n)]] = True
+    return at[start]
+
+
+def split_words(texts: pa.Array) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The words of all texts, one after the other, and each text's offset among them. A null is an empty text."""
+    t = pc.fill_null(texts.cast(pa.large_string()), "")
+    if isinstance(t, pa.ChunkedArray):
+        t = pa.concat_arrays(t.chunks) if t.num_chunks else pa.array([], pa.large_string())
+    off = np.frombuffer(t.buffers()[1], dtype=np.int64, count=len(t) + 1 + t.offset)[t.offset :] if len(t) else np.zeros(1, np.int64)
+    size = int(off[-1] - off[0])
+    data = np.frombuffer(t.buffers()[2], dtype=np.uint8)[off[0] : off[-1]] if size else np.zeros(0, np.uint8)
+    off = off - off[0]
+    parts, i = [], 0
+    while i < len(t):  # some texts at a time, so that memory stays small
+        j = max(i + 1, int(np.searchsorted(off, off[i] + _CHUNK)))
+        j = min(j, len(t))
+        if off[j] > off[i]:
+            own = off[i:j][np.diff(off[i : j + 1]) > 0] - off[i]
+            parts.append(_starts(data[off[i] : off[j]], own) + off[i])
+        i = j
+    ends = np.concatenate([*parts, [size]]).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(data)))
+    return words, np.searchsorted(ends[:-1], off)
+
+
 _loaded: dict[str, tuple[pa.Array, pa.Array]] = {}
 
 
-def _dictionary(uri: str) -> tuple[pa.Array, pa.ListArray]:
-    """The dictionary's words and ids; each worker reads it once."""
+@lru_cache(4)
+def _whole(path: str) -> tuple[pa.LargeStringArray, pa.Array]:
+    """The pieces that are UTF-8, and their ids."""
+    ranks = read_ranks(path)
+    good = []
+    for p, r in ranks.items():
+        try:
+            good.append((p.decode(), r))
+        except UnicodeDecodeError:
+            pass
+    return pa.array([p for p, _ in good], pa.large_string()), pa.array([[r] for _, r in good], pa.large_list(pa.int32()))
+
+
+def _dictionary(uri: str, vocabulary: str) -> tuple[pa.Array, pa.Array]:
+    """Pieces and dictionary: words and ids; each worker reads them once."""
     if uri not in _loaded:
         fs, path = common.open_fs(uri)
         t = pq.read_table(path, columns=["w", "ids"], filesystem=fs)
+        words, ids = _whole(vocabulary)
         _loaded.clear()
-        _loaded[uri] = (t["w"].cast(pa.large_string()).combine_chunks(), t["ids"].cast(pa.large_list(pa.int32())).combine_chunks())
-    words, ids = _loaded[uri]
-    if isinstance(words, pa.ChunkedArray):
-        words = pa.concat_arrays(words.chunks) if words.num_chunks else pa.array([], pa.large_string())
-        ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.large_list(pa.int32()))
-        _loaded[uri] = words, ids
-    return words, ids
+        _loaded[uri] = (
+            pa.concat_arrays([words, *t["w"].cast(pa.large_string()).chunks]),
+            pa.concat_arrays([ids, *t["ids"].cast(pa.large_list(pa.int32())).chunks]),
+        )
+    return _loaded[uri]
 
 
 def _lookup(uri: str, vocabulary: str):
-    """array<string> of words -> (segs, miss): ids between the words that the dictionary lacks, and these."""
+    """text -> (segs, miss): ids between the words that pieces and dictionary lack, and these."""
 
     @F.arrow_udf("segs array<array<int>>, miss array<binary>")
     def look(col: pa.Array) -> pa.Array:
-        words, ids = _dictionary(uri)
-        off = col.offsets.to_numpy().astype(np.int64)
-        flat = col.values.slice(off[0], off[-1] - off[0]).cast(pa.large_string())
-        off = off - off[0]
+        words, ids = _dictionary(uri, vocabulary)
+        flat, off = split_words(col)
         at = pc.index_in(flat, value_set=words)
         lost = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
-        found = pc.take(ids, at)  # null where the dictionary lacks the word
+        found = pc.take(ids, at)  # null where the word is lost
         length = pc.fill_null(pc.list_value_length(found), 0).to_numpy().astype(np.int64)
         ends = np.concatenate(([0], np.cumsum(length)))
         values = found.flatten().cast(pa.int32())
@@ -228,26 +339,36 @@ def _lookup(uri: str, vocabulary: str):
     return look
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(PATTERN), 0)
+def _count_words(vocabulary: str):
+    def run(batches):
+        pieces, _ = _whole(vocabulary)
+        for b in batches:
+            words, _ = split_words(b.column(0))
+            if not len(words):
+                continue
+            d = words.dictionary_encode()
+            n = np.bincount(d.indices.to_numpy(), minlength=len(d.dictionary))
+            own = pc.and_(pc.invert(pc.is_in(d.dictionary, value_set=pieces)), pc.less_equal(pc.binary_length(d.dictionary), LONG))
+            yield pa.RecordBatch.from_arrays([d.dictionary.filter(own).cast(pa.string()), pa.array(n).filter(own)], ["w", "n"])
+
+    return run
 
 
 def build_dictionary(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = DICTIONARY_WORDS) -> str:
-    """Writes (w, ids) of the words that occur in the most documents of docs, and gives the path.
+    """Writes (w, ids) of the words that occur most often in docs and are no pieces, and gives the path.
 
-    Words are taken by whole document counts, from the highest down, as long as
+    Words are taken by whole counts, from the highest down, as long as
     they are no more than ``size``.
     """
     spark = docs.sparkSession
-    words = docs.select(F.explode(F.array_distinct(words_of(docs["text"]))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    counts, counts_path = common.write_table(words.filter(F.octet_length("w") <= LONG), "words")
-    least, total = None, 0
-    for df, n in sorted(((r["df"], r["n"]) for r in counts.groupBy("df").agg(F.count("*").alias("n")).collect()), reverse=True):
-        if total + n > size:
-            break
-        least, total = df, total + n
-    hot = counts.filter(F.col("df") >= (least if least is not None else 1 << 62)).select("w")
-    parts = max(spark.sparkContext.defaultParallelism, total // 20_000 + 1)
+    words = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(_count_words(vocabulary), "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    counts, counts_path = common.write_table(words, "words")
+    by_count = counts.groupBy("n").agg(F.count("*").alias("words"))
+    ahead = F.sum("words").over(Window.orderBy(F.desc("n")))
+    row = by_count.withColumn("ahead", ahead).filter(F.col("ahead") <= size).agg(F.min("n"), F.max("ahead")).first()
+    least, total = (row[0], row[1]) if row[0] is not None else (1 << 62, 0)
+    hot = counts.filter(F.col("n") >= least).select("w")
+    parts = max(spark.sparkContext.defaultParallelism, total // 50_000 + 1)
     path = common.new_path(spark, "dictionary")
     hot.repartition(parts).select("w", Merger(vocabulary).fold(F.col("w").cast("binary")).alias("ids")).write.parquet(path)
     common.remove(spark, counts_path)
@@ -265,7 +386,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, dictionary_words: int
     uri = build_dictionary(docs, vocabulary, dictionary_words)
     merger = Merger(vocabulary)
     kept = [docs[c] for c in keep or []]
-    x = docs.select(docs["doc_id"], *kept, _lookup(uri, vocabulary)(words_of(docs["text"])).alias("x"))
+    x = docs.select(docs["doc_id"], *kept, _lookup(uri, vocabulary)(docs["text"].cast("string")).alias("x"))
     segs, miss = F.col("x.segs"), F.col("x.miss")
     filled = F.transform(miss, lambda w, i: F.concat(F.get(segs, i), merger.fold(w)))
     ids = F.when(F.size(miss) == 0, F.get(segs, F.lit(0))).otherwise(F.concat(F.flatten(filled), F.get(segs, F.size(miss))))
