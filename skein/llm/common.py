@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,11 +138,27 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), np.searchsorted(starts, off)
 
 
-def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+def slices(texts: pa.Array, size: int = 2 << 20) -> Iterator[pa.Array]:
+    """texts in parts of about size bytes, of one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size)))
+        yield texts.slice(i, j - i)
+        i = j
+
+
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of ``width`` words.
 
     A text of fewer words has one run of all; a text without words has none.
+    Only a part of the texts is held as hashes at a time.
     """
+    for part in slices(texts):
+        yield from _shingle_sets(part, width)
+
+
+def _shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     words, off = word_hashes(texts)
     n = np.diff(off)
     run = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
@@ -149,15 +166,13 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
         for k in range(width):
             run += mix(words[k : len(words) - width + 1 + k] + np.uint64(k + 1)) if len(run) else 0
         run = mix(run * np.uint64(_B) + np.uint64(width))
-        out = []
         for a, m in zip(off[:-1].tolist(), n.tolist()):
             if m >= width:
-                out.append(np.unique(run[a : a + m - width + 1]))
+                yield np.unique(run[a : a + m - width + 1])
             elif m:
                 h = np.zeros(1, dtype=np.uint64)
                 for k in range(m):
                     h += mix(words[a + k : a + k + 1] + np.uint64(k + 1))
-                out.append(mix(h * np.uint64(_B) + np.uint64(m)))
+                yield mix(h * np.uint64(_B) + np.uint64(m))
             else:
-                out.append(np.zeros(0, dtype=np.uint64))
-    return out
+                yield np.zeros(0, dtype=np.uint64)
