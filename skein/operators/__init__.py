@@ -1 +1 @@
-
+"""Operators over tables of pages and documents."""

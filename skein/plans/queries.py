@@ -5,5 +5,410 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import content_type as C
+from ..functions import text as T
+from ..functions import urls as U
+from ..operators import corpus, crawl, frontier, links, markdown, parse, robots
+from ..sources import sinks
+from ..streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+INCLUDE, EXCLUDE = (r"example\.(com|org)", r"/en/"), (r"[?&]page=[0-9]+", r"#top")
+KEYWORDS = ("the", "and", "der", "que")
+ROBOTS = "User-agent: *\nDisallow: /en/*1\nDisallow: /*.html$\nAllow: /en/11\nCrawl-delay: 2\n\nUser-agent: other\nDisallow: /\n"
+ROBOTS_OWN = "User-agent: *\nDisallow: /\n\nUser-agent: skein\nDisallow: /de/\nAllow: /de/1\n"
+
+
+def query(f: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable:
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return f
+
+
+# ---------------------------------------------------------------- addresses
+
+
+@query
+def url_normalize(t):
+    return t("pages").select("page_id", U.normalize("url").alias("norm"), U.normalize("url", False).alias("with_www"))
+
+
+@query
+def url_parts(t):
+    return t("pages").select("page_id", U.scheme("url").alias("scheme"), U.host("url").alias("host"), U.path("url").alias("path"), U.raw_query("url").alias("query"), U.extension("url").alias("extension"), U.root_domain("url").alias("root"))
+
+
+@query
+def url_names(t):
+    return t("pages").select("page_id", U.slug("url").alias("slug"), U.filename("url").alias("filename"))
+
+
+@query
+def url_file_paths(t):
+    return t("pages").select("page_id", U.file_path("url", "out").alias("flat"), U.file_path("url", "out", True).alias("mirror"))
+
+
+@query
+def url_sanitize(t):
+    raw = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "^https?:", "")).when(F.col("page_id") % 3 == 1, F.regexp_replace("url", "^https?://", "")).otherwise(F.col("url"))
+    return t("pages").select("page_id", U.sanitize(F.concat(F.lit(" \n"), F.replace(raw, F.lit("/"), F.lit(" / ")), F.lit("  "))).alias("clean"))
+
+
+@query
+def url_relations(t):
+    a = t("pages").select("page_id", "url")
+    b = a.select((F.col("page_id") - 1).alias("page_id"), F.regexp_replace("url", r"://(www|m|blog)\.", "://").alias("base"))
+    return a.join(b, "page_id").unionByName(a.withColumn("base", F.regexp_replace("url", r"://(www|m|blog)\.", "://"))).select("page_id", "base", U.is_same_domain("url", "base").alias("same"), U.is_subdomain("url", "base").alias("below"))
+
+
+@query
+def url_filter(t):
+    return t("pages").filter(frontier.matches(F.col("url"), INCLUDE, EXCLUDE)).select("page_id", "url")
+
+
+@query
+def url_resolve(t):
+    r = F.array(*[F.lit(x) for x in ("/a/b?x=1", "//cdn.example.net/lib.js", "https://Other.example.org", "?q=2")])
+    return t("pages").select("page_id", "url", F.explode(r).alias("ref")).select("page_id", "ref", U.resolve("url", "ref").alias("resolved"))
+
+
+@query
+def route_kinds(t):
+    return t("pages").groupBy(U.route_kind("url").alias("route")).agg(F.count("*").alias("n"))
+
+
+@query
+def sitemap_probes(t):
+    return t("pages").select(F.explode(U.sitemap_probes("url")).alias("probe")).distinct()
+
+
+@query
+def content_types(t):
+    h = F.element_at(F.array(*[F.lit(x) for x in ("Text/HTML; charset=utf-8", "application/xml", "application/pdf; q=1", "application/ld+json", None, None)]), (F.col("page_id") % 6 + 1).cast("int"))
+    body = F.when(F.col("page_id") % 4 == 0, F.lit("<?xml version='1.0'?> <urlset>")).when(F.col("page_id") % 4 == 1, F.lit(" [1]")).otherwise(F.col("html"))
+    d = C.detect(h, "url", body)
+    return t("pages").select("page_id", d.alias("d"), C.detect_by_header(h, "url").alias("by_header")).select("page_id", "d.kind", "d.mime", "by_header")
+
+
+@query
+def frameworks(t):
+    marked = F.when(F.col("page_id") % 5 == 0, F.concat(F.col("html"), F.lit('<script id="__NEXT_DATA__">'))).when(F.col("page_id") % 5 == 1, F.concat(F.col("html"), F.lit("<div data-reactroot>"))).otherwise(F.col("html"))
+    return t("pages").select("page_id", C.framework(marked).alias("framework"))
+
+
+# ---------------------------------------------------------------- pages
+
+
+@query
+def page_metadata(t):
+    x = t("pages").select("page_id", parse.parse_metadata("html").alias("m"))
+    return x.select("page_id", "m.title", "m.language", F.size("m.keywords").cast("long").alias("keywords"))
+
+
+@query
+def page_frontmatter(t):
+    x = t("pages").select("page_id", "url", parse.parse_metadata("html").alias("m"))
+    return x.select("page_id", markdown.frontmatter("url", F.col("m")).alias("front"))
+
+
+@query
+def node_counts(t):
+    return parse.content_nodes(t("pages")).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query
+def heading_nodes(t):
+    return parse.content_nodes(t("pages")).filter("kind = 'heading'").select("page_id", F.col("level").cast("long").alias("level"), "text")
+
+
+@query
+def paragraph_nodes(t):
+    return parse.content_nodes(t("pages")).filter("kind = 'paragraph'").select("page_id", F.length("text").cast("long").alias("length"), F.md5("text").alias("digest"))
+
+
+@query
+def markdown_render(t):
+    return crawl.results(t("pages")).select("url", "title", "markdown", "status_code", "render_method")
+
+
+@query
+def links_exploded(t):
+    return links.extract(t("pages")).select("page_id", F.col("pos").cast("long").alias("pos"), "link_type", "category", "href", "url")
+
+
+@query
+def links_by_category(t):
+    return links.extract(t("pages")).groupBy(U.host("base").alias("host"), "category").agg(F.count("*").alias("n"))
+
+
+@query
+def links_distinct(t):
+    return links.distinct(links.extract(t("pages"))).select("page_id", "category", "url", F.col("pos").cast("long").alias("pos"))
+
+
+@query
+def links_by_page(t):
+    x = links.by_page(links.extract(t("pages")))
+    return x.select("page_id", F.array_join("internal", " ").alias("internal"), *[F.size(c).cast("long").alias(c) for c in links.CATEGORIES[1:]])
+
+
+@query
+def outdegree_topk(t):
+    return links.graph(links.extract(t("pages"))).groupBy("src").agg(F.count("*").alias("degree"), F.sum("n").alias("links")).orderBy(F.desc("degree"), "src").limit(10)
+
+
+@query
+def host_link_matrix(t):
+    return links.host_matrix(links.extract(t("pages")))
+
+
+@query
+def link_graph_stats(t):
+    return links.graph_stats(links.graph(links.extract(t("pages"))))
+
+
+@query
+def srcset_urls(t):
+    s = F.concat(F.col("url"), F.lit(" 300w, "), F.col("url"), F.lit("?l=1 2x ,, /x.jpg"))
+    return t("pages").select("page_id", F.posexplode(T.srcset_urls(s)).alias("pos", "u")).select("page_id", F.col("pos").cast("long").alias("pos"), "u")
+
+
+@query
+def refresh_urls(t):
+    q = F.element_at(F.array(F.lit("5;URL='"), F.lit("0; url="), F.lit('3;url="')), (F.col("page_id") % 3 + 1).cast("int"))
+    e = F.element_at(F.array(F.lit("'"), F.lit(" "), F.lit('"')), (F.col("page_id") % 3 + 1).cast("int"))
+    return t("pages").select("page_id", T.refresh_url(F.when(F.col("page_id") % 7 == 0, F.lit("5")).otherwise(F.concat(q, F.col("url"), e))).alias("target"))
+
+
+@query
+def json_nodes(t):
+    x = t("events").select("event_id", F.explode(parse.parse_nodes("props", F.lit("json"))).alias("n"))
+    return x.select("event_id", "n.kind", "n.text")
+
+
+@query
+def sitemap_entries(t):
+    u = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc><priority>0."), (F.col("page_id") % 10).cast("string"), F.lit("</priority></url>"))
+    x = t("pages").groupBy(U.host("url").alias("host")).agg(F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="s">'), F.array_join(F.array_sort(F.collect_list(u)), ""), F.lit("</urlset>")).alias("xml"))
+    return x.select("host", F.explode(parse.parse_sitemap("xml")["entries"]).alias("e")).select("host", "e.loc", "e.priority")
+
+
+@query
+def rss_items(t):
+    i = F.concat(F.lit("<item><title><![CDATA["), F.col("event_type"), F.lit("]]></title><link>https://e.example.com/"), F.col("event_id").cast("string"), F.lit("</link><author>u"), F.col("user_id").cast("string"), F.lit("</author></item>"))
+    x = t("events").groupBy("event_type").agg(F.concat(F.lit("<rss><channel><title>"), F.first("event_type"), F.lit("</title>"), F.array_join(F.array_sort(F.collect_list(i)), ""), F.lit("</channel></rss>")).alias("xml"))
+    return x.select(F.explode(parse.parse_rss("xml")["items"]).alias("i")).select("i.title", "i.link", "i.author")
+
+
+# ---------------------------------------------------------------- text
+
+
+@query
+def strip_tags(t):
+    return t("pages").select("page_id", F.md5(T.strip_tags("html")).alias("digest"))
+
+
+@query
+def collapse_blank_lines(t):
+    return t("documents").select("doc_id", F.md5(T.collapse_blank_lines(F.replace("text", F.lit("."), F.lit("\n")), 1)).alias("digest"))
+
+
+@query
+def escape_markdown(t):
+    return t("documents").select("doc_id", F.md5(T.escape_markdown("text")).alias("digest"))
+
+
+@query
+def yaml_escape(t):
+    return t("conversations").select("conv_id", "turn", T.yaml_escape("text").alias("value"))
+
+
+@query
+def tidy_markdown(t):
+    return t("documents").select("doc_id", F.md5(T.tidy_markdown(F.replace("text", F.lit(". "), F.lit("  \n\n\n\n* ")))).alias("digest"))
+
+
+@query
+def collapse_space(t):
+    return t("documents").select("doc_id", F.md5(T.collapse("text")).alias("digest"))
+
+
+@query
+def code_languages(t):
+    c = F.element_at(F.array(*[F.lit(x) for x in ("language-python", "hljs lang-rust", "c++", "two words", "highlight-js x")]), (F.col("page_id") % 5 + 1).cast("int"))
+    return t("pages").select("page_id", T.code_language(c).alias("language"))
+
+
+@query
+def durations(t):
+    s = F.concat((F.col("p_size") % 60).cast("string"), F.element_at(F.array(*[F.lit(x) for x in ("ms", "s", "m5s", "h", "", "x")]), (F.col("p_partkey") % 6 + 1).cast("int")))
+    return t("part").select("p_partkey", T.duration_ms(s).alias("ms"))
+
+
+@query
+def entities(t):
+    return corpus.entities(t("documents")).select("doc_id", "rule", F.col("pos").cast("long").alias("pos"), "match")
+
+
+@query
+def entities_derived(t):
+    text = F.concat(F.lit("Paid $"), F.floor("o_totalprice").cast("string"), F.lit(".00 on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" in #a1b2c3, see [x](https://e.example.com/"), F.col("o_orderkey").cast("string"), F.lit(") 978-1-23456-789-0"))
+    m = T.entities(text, {k: T.PATTERNS[k] for k in ("price", "iso_date", "hex_color", "md_link", "url", "us_date")})
+    return t("orders").select("o_orderkey", F.explode(m).alias("rule", "found")).select("o_orderkey", "rule", F.explode("found").alias("match"))
+
+
+@query
+def phones_formatted(t):
+    x = t("documents").select("doc_id", F.explode(T.found("text", "phone")).alias("m"))
+    return x.select("doc_id", T.formatted_phone("m").alias("phone"))
+
+
+@query
+def keyword_stats(t):
+    x = t("documents").select("lang", *[T.keyword_density("text", k).alias(k) for k in KEYWORDS])
+    return x.groupBy("lang").agg(*[F.round(f(k), 9).alias(f"{n}_{k}") for k in KEYWORDS for n, f in (("avg", F.avg), ("max", F.max))])
+
+
+@query
+def relevance_scores(t):
+    return t("documents").select("doc_id", T.relevance("text", list(KEYWORDS)).alias("score"))
+
+
+@query
+def page_scores(t):
+    return corpus.scores(t("documents"), KEYWORDS).select("doc_id", "emails", "phones", F.round("score", 6).alias("score"))
+
+
+@query
+def exact_dedup(t):
+    return corpus.exact_dedup(t("documents")).select("doc_id", "lang", "source")
+
+
+@query
+def duplicate_digests(t):
+    return corpus.digests(t("documents"))
+
+
+@query
+def word_frequency(t):
+    return corpus.word_frequency(t("documents")).orderBy(F.desc("n"), "word").limit(50)
+
+
+@query
+def corpus_report(t):
+    return corpus.report(t("documents"), "text", "lang").select("lang", "pages", "words", F.round("avg_words", 6).alias("avg_words"))
+
+
+@query
+def top_pages(t):
+    return t("documents").select("doc_id", T.word_count("text").alias("words")).orderBy(F.desc("words"), "doc_id").limit(10)
+
+
+@query
+def unique_entities(t):
+    return corpus.entities(t("documents")).groupBy("rule").agg(F.countDistinct("match").alias("n_distinct"), F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- traversal
+
+
+def _graph(t):
+    page = lambda kind, k, of: F.concat(F.lit("https://h"), (k % of).cast("string"), F.lit(f".example.com/{kind}/"), k.cast("string"))
+    li = t("lineitem")
+    up = li.filter("l_linenumber <= 2").select(page("p", F.col("l_partkey"), 3).alias("src"), page("s", F.col("l_suppkey"), 5).alias("dst"), F.lit("external").alias("source"))
+    down = li.filter("l_linenumber = 1").select(page("s", F.col("l_suppkey"), 5).alias("src"), page("p", F.col("l_partkey"), 3).alias("dst"), F.lit("internal").alias("source"))
+    return up.unionByName(down)
+
+
+def _seed(t):
+    return t("region").filter("r_regionkey = 0").select(F.lit("https://h1.example.com/p/1").alias("url"))
+
+
+@query
+def frontier_deep(t):
+    return frontier.traverse(_graph(t), _seed(t), frontier.CrawlOptions(mode="deep", max_depth=4)).select("url", F.col("depth").cast("long").alias("depth"))
+
+
+@query
+def frontier_full(t):
+    return frontier.traverse(_graph(t), _seed(t), frontier.CrawlOptions(mode="full", max_depth=5, exclude=(r"/p/[0-9]*7$",))).select("url", F.col("depth").cast("long").alias("depth"), F.col("priority").cast("long").alias("priority"))
+
+
+@query
+def frontier_budget(t):
+    x = frontier.traverse(_graph(t), _seed(t), frontier.CrawlOptions(mode="deep", max_depth=3, max_pages=40))
+    return x.groupBy("depth").agg(F.count("*").alias("n")).select(F.col("depth").cast("long").alias("depth"), "n")
+
+
+@query
+def frontier_stats(t):
+    tasks = frontier.traverse(_graph(t), _seed(t), frontier.CrawlOptions(mode="deep", max_depth=4))
+    return frontier.stats(tasks, _graph(t).select(F.col("src").alias("url"), F.when(F.col("src").endswith("3"), 404).otherwise(200).alias("status")))
+
+
+@query
+def crawl_pages(t):
+    spark = t("pages").sparkSession
+    seeds = [r["url"] for r in t("pages").orderBy("page_id").limit(3).collect()]  # seeds are few by nature
+    x = crawl.crawl(t("pages"), seeds, frontier.CrawlOptions(mode="deep", max_depth=1))
+    return x.select("url", F.col("depth").cast("long").alias("depth"), F.col("priority").cast("long").alias("priority")) if spark else x
+
+
+@query
+def robots_allowed(t):
+    pages = t("pages").select("page_id", "url")
+    hosts = pages.select(U.host("url").alias("host")).distinct()
+    files = hosts.select("host", F.when(F.length("host") % 3 == 0, F.lit(ROBOTS)).when(F.length("host") % 3 == 1, F.lit(ROBOTS_OWN)).alias("content")).filter("content is not null")
+    return robots.allowed(pages, robots.rules(files), "skein").select("page_id", "url", "allowed")
+
+
+@query
+def crawl_schedule(t):
+    return frontier.schedule(t("pages").select("page_id", "url"), 250, "url", ("page_id",)).select("page_id", "start_ms")
+
+
+def _status():
+    return F.element_at(F.array(*[F.lit(s) for s in (200, 429, 500, 204, 503, 404, 200, 502)]), (F.col("event_id") % 8 + 1).cast("int"))
+
+
+@query
+def adaptive_delay(t):
+    return frontier.adaptive_delay(t("events").select(F.col("user_id").alias("host"), F.col("event_id").alias("at"), _status().alias("status")))
+
+
+@query
+def backoff(t):
+    return t("events").select("event_id", frontier.backoff_ms(F.col("event_id") % 8, F.when(F.col("event_id") % 5 == 0, F.col("user_id").cast("string")).when(F.col("event_id") % 5 == 1, F.lit("soon"))).alias("ms"))
+
+
+@query
+def fetch_filter(t):
+    return t("events").select("event_id", _status().alias("status")).filter("status < 400").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query
+def event_rates(t):
+    return streams.rates(t("events"), window="6 hours").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query
+def upsert_latest(t):
+    return corpus.latest(t("events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query
+def file_names(t):
+    return corpus.file_names(t("pages").select("page_id", "url")).select("page_id", "name")
+
+
+@query
+def sink_contents(t):
+    r = t("pages").select("url", F.concat(F.lit("T"), F.col("page_id").cast("string")).alias("title"), F.lit("x").alias("markdown"), F.lit("now").alias("crawled_at"))
+    return sinks.files(r, "out")
+
+
+@query
+def single_file(t):
+    r = t("pages").select("url", F.lit("T").alias("title"), F.lit("x").alias("markdown"), F.lit("now").alias("crawled_at"))
+    return sinks.single_text(r).select(F.md5("content").alias("digest"))
