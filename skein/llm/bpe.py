@@ -118,22 +118,25 @@ class Merger:
         if max(ranks.values()) >= _NONE:
             raise ValueError(f"ranks must be below {_NONE}")
         offset, left, rank = _pair_table(path)
-        literal = lambda x, kind: F.from_json(F.lit(json.dumps(x)), f"array<{kind}>")  # noqa: E731  (folded to a literal)
-        self.offset, self.left, self.ranks = literal(offset, "int"), literal(left, "int"), literal(rank, "bigint")
-        self.bytes = literal([ranks[bytes([i])] for i in range(256)], "int")
-
-    def rank(self, a: Column, b: Column) -> Column:
-        """The rank (long) of a pair of ids (int); _NONE if it has none or one of them is null."""
-        slot = F.get(self.offset, a) + b
-        return F.when(F.get(self.left, slot) == a, F.get(self.ranks, slot)).otherwise(F.lit(_NONE).cast("long"))
+        literal = lambda x: F.from_json(F.lit(json.dumps(x)), "array<int>")  # noqa: E731  (folded to a literal)
+        self.offset, self.left, self.ranks = literal(offset), literal(left), literal(rank)
+        self.bytes = literal([ranks[bytes([i])] for i in range(256)])
 
     def fold(self, word: Column) -> Column:
-        """Ids (array of int) of a word (binary) of 1 to LONG bytes."""
+        """Ids (array of int) of a word (binary) of 1 to LONG bytes. The literals stand in the plan once."""
+        return _let(self.offset, lambda o: _let(self.left, lambda l: _let(self.ranks, lambda r: self._fold(word, o, l, r))))
+
+    def _fold(self, word: Column, offset: Column, left: Column, ranks: Column) -> Column:
+        def rank(a: Column, b: Column) -> Column:
+            """The rank (long) of a pair of ids (int); _NONE if it has none or one of them is null."""
+            slot = F.get(offset, a) + b
+            return F.when(F.get(left, slot) == a, F.get(ranks, slot).cast("long")).otherwise(F.lit(_NONE).cast("long"))
+
         low = lambda x: x.bitwiseAND(F.lit(_NONE - 1)).cast("int")
         kept = lambda x: x.bitwiseAND(F.lit((1 << (_ID + _POS)) - 1))  # noqa: E731  (place and id)
         ranked = lambda r, rest: F.shiftleft(r, _ID + _POS).bitwiseOR(rest)
         codes = _let(F.decode(word, "ISO-8859-1"), lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.get(self.bytes, F.ascii(F.substring(s, i, F.lit(1))))))
-        start = _let(codes, lambda p: F.transform(p, lambda x, i: ranked(self.rank(x, F.get(p, i + 1)), F.shiftleft(i.cast("long"), _ID).bitwiseOR(x.cast("long")))))
+        start = _let(codes, lambda p: F.transform(p, lambda x, i: ranked(rank(x, F.get(p, i + 1)), F.shiftleft(i.cast("long"), _ID).bitwiseOR(x.cast("long")))))
 
         def merged(e: Column, least: Column) -> Column:
             new = F.shiftright(least, _ID + _POS)  # the rank of a pair is the id of its piece
@@ -142,8 +145,8 @@ class Merger:
 
             def moved(x: Column, after: Column) -> Column:
                 return (
-                    F.when(x == least, ranked(self.rank(new.cast("int"), low(after)), place.bitwiseOR(new)))
-                    .when(after == least, ranked(self.rank(low(x), new.cast("int")), kept(x)))
+                    F.when(x == least, ranked(rank(new.cast("int"), low(after)), place.bitwiseOR(new)))
+                    .when(after == least, ranked(rank(low(x), new.cast("int")), kept(x)))
                     .otherwise(x)
                 )
 
@@ -302,8 +305,7 @@ def _dictionary(uri: str, vocabulary: str) -> tuple[pa.Array, pa.Array]:
 def _lookup(uri: str, vocabulary: str):
     """text -> (segs, miss): ids between the words that pieces and dictionary lack, and these."""
 
-    @F.arrow_udf("segs array<array<int>>, miss array<binary>")
-    def look(col: pa.Array) -> pa.Array:
+    def look_up(col: pa.Array) -> pa.StructArray:
         words, ids = _dictionary(uri, vocabulary)
         flat, off = split_words(col)
         at = pc.index_in(flat, value_set=words)
@@ -336,14 +338,19 @@ def _lookup(uri: str, vocabulary: str):
         miss = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(lost_words, pa.binary()))
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(outer, segs), miss], ["segs", "miss"])
 
+    @F.arrow_udf("segs array<array<int>>, miss array<binary>")
+    def look(col: pa.Array) -> pa.Array:
+        parts = [look_up(p) for p in common.slices(col, 8 << 20)]
+        return pa.concat_arrays(parts) if parts else look_up(col)
+
     return look
 
 
 def _count_words(vocabulary: str):
     def run(batches):
         pieces, _ = _whole(vocabulary)
-        for b in batches:
-            words, _ = split_words(b.column(0))
+        for part in (p for b in batches for p in common.slices(b.column(0), 16 << 20)):
+            words, _ = split_words(part)
             if not len(words):
                 continue
             d = words.dictionary_encode()
