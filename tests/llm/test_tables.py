@@ -53,7 +53,7 @@ def test_colliding_keys_are_confirmed(tmp_path):
 
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(1)
-    x = np.round(rng.normal(size=(400, 6)), 1)
+    x = np.round(rng.normal(size=(400, 6)) * 4) / 4
     x[10:20] = x[5]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [None] * 6), (None, [0.0] * 6), (1002, [float("nan")] * 6), (1003, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
