@@ -340,7 +340,10 @@ def _lookup(uri: str, vocabulary: str):
 
     @F.arrow_udf("segs array<array<int>>, miss array<binary>")
     def look(col: pa.Array) -> pa.Array:
-        parts = [look_up(p) for p in common.slices(col, 8 << 20)]
+        parts = []
+        for p in common.slices(col, 4 << 20):
+            parts.append(look_up(p))
+            pa.default_memory_pool().release_unused()
         return pa.concat_arrays(parts) if parts else look_up(col)
 
     return look
@@ -357,6 +360,8 @@ def _count_words(vocabulary: str):
             n = np.bincount(d.indices.to_numpy(), minlength=len(d.dictionary))
             own = pc.and_(pc.invert(pc.is_in(d.dictionary, value_set=pieces)), pc.less_equal(pc.binary_length(d.dictionary), LONG))
             yield pa.RecordBatch.from_arrays([d.dictionary.filter(own).cast(pa.string()), pa.array(n).filter(own)], ["w", "n"])
+            del words, d, n, own
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -47,7 +47,7 @@ def write_files(tokens: DataFrame, eod: int = EOD, dtype: str = DTYPE) -> tuple[
         tmp = f"{base}/.{name}-{ctx.taskAttemptId()}"
         done, path = 0, f"{uri}/{name}"
         with fs.open_output_stream(tmp) as f:
-            for b in batches:
+            for b in (whole.slice(i, 500) for whole in batches for i in range(0, len(whole), 500)):
                 col = b.column(1)
                 n = pc.fill_null(pc.list_value_length(col), 0).to_numpy().astype(np.int64)
                 ids = col.flatten().to_numpy(zero_copy_only=False)
@@ -57,6 +57,7 @@ def write_files(tokens: DataFrame, eod: int = EOD, dtype: str = DTYPE) -> tuple[
                 f.write(np.insert(ids.astype(dtype), ends, np.array(eod, dtype)).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(b)), pa.array(done + np.arange(len(b))), b.column(0)], ["path", "ordinal", "doc_id"])
                 done += len(b)
+                pa.default_memory_pool().release_unused()
         if done:
             fs.move(tmp, f"{base}/{name}")
         else:
