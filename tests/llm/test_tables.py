@@ -122,6 +122,27 @@ def test_links_of_shared_lines(spark):
     assert len(got) == 2 and {i for r in got for i in (r.a, r.b)} == {1, 2, 3} and all(r.a < r.b for r in got)
 
 
+def test_all_pairs_of_shared_lines_vote(spark):
+    rng = np.random.default_rng(6)
+    line = [f"line {k} is shared by some of the documents" for k in range(12)]
+    held = {i: {int(k) for k in rng.integers(0, 12, 3)} | ({0} if i % 3 else set()) for i in range(120)}
+    held |= {120: set(), 121: set()}
+    rows = [(i, "\n".join([line[k] for k in ks] + ["short", f"a line that only document {i} holds"])) for i, ks in held.items()] + [(7, line[5]), (None, line[5]), (122, None)]
+    held[7] |= {5}
+    held[122] = set()
+    edges = [(a, b, len(held[a] & held[b])) for a in held for b in held if a < b and held[a] & held[b]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.shard for r in sharding.shard(docs, None, 4, 0.1, 5, -1.0, 7).collect()}
+    least = {i: min([i, *(b for a, b, _ in edges if a == i), *(a for a, b, _ in edges if b == i)]) for i in held}
+    key = {r.i: r.k for r in spark.createDataFrame(list(least.items()), "i long, m long").select("i", F.xxhash64(F.lit(7), "m").alias("k")).collect()}
+    flips = spark.range(123).crossJoin(spark.range(5).withColumnRenamed("id", "it")).select("id", "it", (F.pmod(F.xxhash64(F.lit(7), F.col("it").cast("int"), "id"), F.lit(2)) == 0).alias("h")).collect()
+    assert got == brute_shard(list(held), edges, 4, 0.1, 5, 7, key, {(r.it, r.id): r.h for r in flips})
+    lines, path = sharding.shared_lines(docs)
+    cut = sharding.line_cut(lines, spark.createDataFrame(list(got.items()), "doc_id long, shard int")).first()
+    assert (cut.weight, cut.cut) == (sum(w for *_, w in edges), sum(w for a, b, w in edges if got[a] != got[b]))
+    common.remove(spark, path)
+
+
 def test_pipeline(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
