@@ -37,18 +37,22 @@ def results(pages: DataFrame, options: CrawlOptions = CrawlOptions()) -> DataFra
     )
 
 
-def crawl(pages: DataFrame, seeds: list[str], options: CrawlOptions = CrawlOptions(), robots_files: DataFrame | None = None) -> DataFrame:
+def crawl(pages: DataFrame, seeds: list[str] | DataFrame, options: CrawlOptions = CrawlOptions(), robots_files: DataFrame | None = None) -> DataFrame:
     """The results of a crawl from seeds over pages(url, html, ...), with depth and priority; in no order, see frontier.order.
 
     What isn't in pages is a failed fetch and gives no row. robots_files(host, content) restrict what is fetched.
+    seeds are addresses or a table of them, seeds(url), which may be as large as pages; the budget never cuts seeds.
     """
-    if not seeds or any(not s.strip() or "://" not in s for s in seeds):
-        raise ValueError(f"bad seeds {seeds!r}")
-    spark = pages.sparkSession
+    if not isinstance(seeds, DataFrame):
+        if not seeds or any(not s.strip() or "://" not in s for s in seeds):
+            raise ValueError(f"bad seeds {seeds!r}")
+        seeds = pages.sparkSession.createDataFrame([(s,) for s in seeds], "url string")
+    elif bad := seeds.filter(~F.coalesce(F.contains("url", F.lit("://")), F.lit(False))).take(1) or seeds.isEmpty():
+        raise ValueError(f"bad seeds {bad!r}")
     got = fetched(pages)
     edges = links.extract(got.select(F.monotonically_increasing_id().alias("page_id"), F.col("final_url").alias("url"), "html"))
     edges = edges.filter("link_type = 'page'").select(F.col("base").alias("src"), F.col("url").alias("dst"), F.when(F.col("category") == "internal", "internal").otherwise("external").alias("source"))
-    tasks = frontier.traverse(edges, spark.createDataFrame([(s,) for s in seeds], "url string"), options)
+    tasks = frontier.traverse(edges, seeds.select("url"), options)
     tasks = tasks.filter(frontier.matches(F.col("url"), options.include, options.exclude))
     if robots_files is not None and options.respect_robots:
         tasks = robots.allowed(tasks, robots.rules(robots_files), options.agent).filter("allowed").drop("allowed")

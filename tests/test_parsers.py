@@ -1,5 +1,6 @@
 """Parsers, Markdown, links, robots: literal cases and what happens at the edges."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import urls as U
@@ -94,6 +95,17 @@ def test_links_and_crawl(spark):
     assert [r.url for r in got] == ["https://www.s.com/"]
 
 
+def test_crawl_from_a_table_of_seeds(spark):
+    p = spark.createDataFrame([(f"https://s{i}.com/", f"<html><body><a href='https://s{i}.com/next'>n</a>{i}</body></html>") for i in range(40)] + [("https://s7.com/next", "<p>x</p>")], "url string, html string")
+    seeds = p.filter("url not like '%next'").select("url")
+    got = {r.url: (r.depth, r.priority) for r in crawl.crawl(p, seeds, frontier.CrawlOptions(mode="deep", max_depth=1, max_pages=1000)).collect()}
+    assert got == {f"https://s{i}.com/": (0, 3) for i in range(40)} | {"https://s7.com/next": (1, 2)}
+    assert crawl.crawl(p, seeds, frontier.CrawlOptions(max_pages=5)).count() == 40
+    for bad in (seeds.limit(0), seeds.unionByName(spark.createDataFrame([(None,)], "url string"))):
+        with pytest.raises(ValueError):
+            crawl.crawl(p, bad)
+
+
 def test_bad_options():
     import pytest
 
