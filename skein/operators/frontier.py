@@ -119,12 +119,38 @@ def order(tasks: DataFrame) -> DataFrame:
     return tasks.orderBy(F.desc("priority"), "depth", "url")
 
 
-def stats(tasks: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row: discovered, crawled, errors and skipped. pages(url, status): what was fetched; status 400 and more is an error, as is a page that is missing."""
+def rejected(edges: DataFrame, seeds: DataFrame, tasks: DataFrame, options: CrawlOptions = CrawlOptions()) -> DataFrame:
+    """One row, skipped: the links that traverse(edges, seeds, options), which gave tasks, rejected by depth, budget or scope.
+
+    Each of the distinct links of a followed page counts once, wherever it leads: a link beyond the depth or after the
+    budget was full is rejected even if its page was seen before, any other link to a seen page is a repeat
+    and isn't. Mode lite rejects nothing, as it looks at no link.
+    """
+    norm = lambda c: urls.normalize(c, options.remove_www)
+    if options.mode == "lite":
+        return edges.sparkSession.createDataFrame([(0,)], "skipped long")
+    graph = edges.select(norm("src").alias("src"), norm("dst").alias("dst"), "source").distinct()
+    sizes = sorted((r["depth"], r["count"]) for r in tasks.groupBy("depth").count().collect())  # one row a level
+    full = min((d for d, _ in sizes if sum(n for e, n in sizes if e <= d) >= options.pages), default=options.depth)
+    follow = tasks.filter(matches(F.col("url"), options.include, options.exclude)).select(F.col("url").alias("src"), "depth")
+    known = tasks.select(F.col("url").alias("dst"), F.lit(True).alias("known"))
+    hosts = seeds.select(urls.host("url").alias("seed_host")).distinct().withColumn("same", F.lit(True))
+    x = follow.join(graph, "src").join(known, "dst", "left").withColumn("h", urls.host("dst"))
+    x = x.join(hosts, F.col("h") == F.col("seed_host"), "left")
+    late = F.col("depth") >= min(full, options.depth)
+    return x.agg(F.count_if(late | F.col("known").isNull() | (F.lit(options.mode == "full") & F.col("same").isNull())).alias("skipped"))
+
+
+def stats(tasks: DataFrame, pages: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """One row: discovered, crawled, errors and skipped. pages(url, status): what was fetched; status 400 and more is an error, as is a page that is missing.
+
+    skipped(skipped) is the row of rejected; without it no link counts as rejected, and skipped is 0.
+    """
     p = pages.select(urls.normalize("url").alias("url"), "status").groupBy("url").agg(F.min("status").alias("status"))
     x = tasks.join(p, "url", "left")
     good = F.col("status") < 400
-    return x.agg(F.count("*").alias("discovered"), F.count_if(good).alias("crawled"), F.count_if(~F.coalesce(good, F.lit(False))).alias("errors"), F.lit(0).cast("long").alias("skipped"))
+    x = x.agg(F.count("*").alias("discovered"), F.count_if(good).alias("crawled"), F.count_if(~F.coalesce(good, F.lit(False))).alias("errors"), *([F.lit(0).cast("long").alias("skipped")] if skipped is None else []))
+    return x if skipped is None else x.crossJoin(skipped.select("skipped"))
 
 
 def should_crawl(candidates: DataFrame, visited: DataFrame, seed_host: str, mode: str, discovered: int, max_pages: int) -> DataFrame:

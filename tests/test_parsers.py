@@ -106,6 +106,27 @@ def test_crawl_from_a_table_of_seeds(spark):
             crawl.crawl(p, bad)
 
 
+def test_rejected_links(spark):
+    u = lambda h, k: f"https://{h}.com/{k}"
+    links = [("a", 0, "a", 1), ("a", 0, "a", 2), ("a", 0, "b", 1), ("a", 1, "a", 0), ("a", 1, "a", 3), ("a", 2, "a", 3), ("a", 2, "b", 1), ("a", 3, "a", 0), ("a", 3, "a", 4), ("b", 1, "a", 0)]
+    edges = spark.createDataFrame([(u(a, i), u(b, j), "internal" if a == b else "external") for a, i, b, j in [*links, links[0]]], "src string, dst string, source string")
+    seeds = spark.createDataFrame([(u("a", 0),)], "url string")
+
+    def got(**o):
+        options = frontier.CrawlOptions(**o)
+        tasks = frontier.traverse(edges, seeds, options)
+        row = frontier.stats(tasks, tasks.select("url", F.lit(200).alias("status")), frontier.rejected(edges, seeds, tasks, options)).first()
+        return row.discovered, row.crawled, row.errors, row.skipped
+
+    assert got(mode="deep") == (6, 6, 0, 0)
+    assert got(mode="deep", max_depth=1) == (4, 4, 0, 5)  # the links of a/1, a/2 and b/1
+    assert got(mode="full") == (5, 5, 0, 2)  # those to b/1
+    assert got(mode="full", max_depth=2) == (4, 4, 0, 4)  # and those of a/3
+    assert got(mode="deep", max_pages=3) == (3, 3, 0, 5)  # to b/1, then all links of a/1 and a/2
+    assert got(mode="full", exclude=("/2$",)) == (5, 5, 0, 1)
+    assert got(mode="lite") == (1, 1, 0, 0)
+
+
 def test_bad_options():
     import pytest
 
