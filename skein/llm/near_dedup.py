@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,7 +42,7 @@ def _sketch_batches(width: int, k: int):
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
             off = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
             sk = pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(n, pa.int64()), sk], ["doc_id", "s1", "s2", "n", "sk"])
+            yield pa.RecordBatch.from_arrays([ids, b.column(2), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(n, pa.int64()), sk], ["doc_id", "digest", "s1", "s2", "n", "sk"])
 
     return run
 
@@ -103,33 +103,46 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("c")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("c")).distinct())
 
 
-def near_groups(docs: DataFrame, width: int = 3, k: int = 64, threshold: float = 0.5, estimate: float = 0.35) -> DataFrame:
-    """(doc_id, group_id) of all documents that have a near or exact copy; group_id is the least doc_id of the group.
+def _digest(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
 
-    Two documents are near copies if the Jaccard similarity of their sets of
-    word runs is at least ``threshold``; groups are the connected components.
-    Pairs whose sketches estimate less than ``estimate`` aren't verified. Equal
-    sets are always found. Rows without doc_id and texts without a word (null,
-    empty, white space) are in no group. Rows that share a doc_id are repeats of
-    one document; the one of the least set hash stands for it. Columns other
-    than doc_id and text aren't read.
+
+def _keyed(sk: DataFrame) -> tuple[DataFrame, str, bool]:
+    """sk with key instead of repeats, its path, and whether a doc_id has several texts.
+
+    key is the doc_id of a document whose doc_id no other text has; texts that share one have
+    hashes of doc_id and digest that are no other document's key.
     """
+    repeats = sk.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeats.isEmpty():
+        return sk.withColumn("key", F.col("doc_id")), "", False
+    texts = sk.join(repeats, "doc_id", "left_semi").dropDuplicates(["doc_id", "digest"])
+    several = texts.groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("several"))
+    texts = texts.join(several, "doc_id", "left")
+    salt = 0
+    while True:
+        named = texts.withColumn("key", F.when(F.col("several"), F.xxhash64(F.lit(salt), "doc_id", "digest")).otherwise(F.col("doc_id"))).drop("several")
+        out, path = common.write_table(sk.join(repeats, "doc_id", "left_anti").withColumn("key", F.col("doc_id")).unionByName(named), "sketches")
+        if out.groupBy("key").count().filter("count > 1").isEmpty():
+            return out, path, not several.isEmpty()
+        common.remove(sk.sparkSession, path)
+        salt += 1
+
+
+def _grouped(docs: DataFrame, width: int = 3, k: int = 64, threshold: float = 0.5, estimate: float = 0.35) -> tuple[DataFrame, bool]:
+    """(doc_id, digest, key, c) of each document with a word, c being the same within a group; and whether a doc_id has several texts. If none has, key is doc_id and c the group's least one."""
     spark = docs.sparkSession
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    raw = src.mapInArrow(_sketch_batches(width, k), "doc_id long, s1 long, s2 long, n long, sk array<long>").filter("n > 0")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _digest("text").alias("digest")).filter("doc_id is not null")
+    raw = src.mapInArrow(_sketch_batches(width, k), "doc_id long, digest long, s1 long, s2 long, n long, sk array<long>").filter("n > 0")
     sk, sk_path = common.write_table(raw, "sketches")
-    repeats = sk.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    repeated = not repeats.isEmpty()
-    if repeated:
-        w = Window.partitionBy("doc_id").orderBy("s1", "s2")
-        first = sk.join(repeats, "doc_id", "left_semi").withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
-        sk, one_path = common.write_table(sk.join(repeats, "doc_id", "left_anti").unionByName(first), "sketches")
+    sk, keyed_path, several = _keyed(sk)
+    if keyed_path:
         common.remove(spark, sk_path)
-        sk_path = one_path
+        sk_path = keyed_path
 
-    reps = sk.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
-    members, members_path = common.write_table(sk.select("doc_id", "s1", "s2").join(reps, ["s1", "s2"]).select("doc_id", "node"), "members")
-    nodes = sk.join(members.filter("doc_id = node").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "sk")
+    reps = sk.groupBy("s1", "s2").agg(F.min("key").alias("node"))
+    members, members_path = common.write_table(sk.select("doc_id", "digest", "key", "s1", "s2").join(reps, ["s1", "s2"]).select("doc_id", "digest", "key", "node"), "members")
+    nodes = sk.join(members.filter("key = node").select("key"), "key", "left_semi").select(F.col("key").alias("node"), "n", "sk")
 
     values = nodes.select("node", "n", F.size("sk").alias("s"), F.explode("sk").alias("v"))
     counts = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
@@ -150,10 +163,12 @@ def near_groups(docs: DataFrame, width: int = 3, k: int = 64, threshold: float =
         x = x.select("a", "b", u.alias("u"), F.array_intersect("sa", "sb").alias("i"))
         x = x.filter(F.size(F.array_intersect("u", "i")) >= F.ceil(F.lit(estimate) * F.size("u")))
         likely, likely_path = common.write_table(x.select("a", "b"), name)
-        used = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-        texts = src.join(sized(used, 2 * likely.count()), "doc_id", "left_semi")
-        if repeated:
-            texts = texts.dropDuplicates(["doc_id"])
+        used = likely.select(F.col("a").alias("key")).union(likely.select(F.col("b").alias("key"))).distinct()
+        if keyed_path:
+            used = used.join(members.select("key", "doc_id", "digest"), "key")
+            texts = src.join(sized(used, 2 * likely.count(), 32), ["doc_id", "digest"]).select("key", "text").dropDuplicates(["key"])
+        else:
+            texts = src.select(F.col("doc_id").alias("key"), "text").join(sized(used, 2 * likely.count()), "key", "left_semi")
         pair_texts = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
         found, path = common.write_table(pair_texts.mapInArrow(_jaccard_batches(width, threshold), "a long, b long"), name)
         common.remove(spark, likely_path)
@@ -171,8 +186,25 @@ def near_groups(docs: DataFrame, width: int = 3, k: int = 64, threshold: float =
     final, final_path = common.write_table(components(first_edges.unionByName(second_edges)), "groups")
     common.remove(spark, sk_path, lists_path, first_path, second_path, first_c_path, placed_path)
 
-    grouped = members.join(final, "node", "left").select("doc_id", F.coalesce("c", "node").alias("group_id"))
-    others = grouped.filter("doc_id <> group_id")
+    return members.join(final, "node", "left").select("doc_id", "digest", "key", F.coalesce("c", "node").alias("c")), several
+
+
+def near_groups(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, group_id) of all documents that have a near or exact copy; group_id is the least doc_id of the group.
+
+    Two documents are near copies if the Jaccard similarity of their sets of
+    word runs (``width`` words) is at least ``threshold``; groups are the connected components.
+    Pairs whose sketches (of ``k`` hashes) estimate less than ``estimate`` aren't verified. Equal
+    sets are always found. Rows without doc_id and texts without a word (null,
+    empty, white space) are in no group. Only rows of equal doc_id and text are repeats of
+    one document. Different texts that share a doc_id are documents of their own, so such a doc_id may be in
+    several groups. Columns other than doc_id and text aren't read.
+    """
+    grouped, several = _grouped(docs, **options)
+    if several:
+        heads = grouped.groupBy("c").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("m")).filter("m > 1")
+        return grouped.join(heads, "c").select("doc_id", "group_id").distinct()
+    others = grouped.select("doc_id", F.col("c").alias("group_id")).filter("doc_id <> group_id")
     heads = others.select("group_id").distinct().select(F.col("group_id").alias("doc_id"), "group_id")
     return others.unionByName(heads)
 
@@ -181,15 +213,22 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group of near copies: that of the least doc_id.
 
     Options as for near_groups. All columns stay. Rows without doc_id and texts
-    without a word stay. Of rows that share a doc_id, one stays.
+    without a word stay. Of rows that share doc_id and text, one stays; different texts that share
+    a doc_id are documents of their own.
     """
-    gone = near_groups(docs, **options).filter("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
+    grouped, several = _grouped(docs, **options)
+    if several:
+        first = grouped.groupBy("c").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+        gone = grouped.join(first, "c").filter(F.col("key") != F.col("first.key")).select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest"))
+    else:
+        gone = grouped.filter("doc_id <> c").select(F.col("doc_id").alias("__gone"))
     gone, _ = common.write_table(gone, "gone")
-    kept = docs.join(sized(gone, gone.count()), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    same = F.col("doc_id").cast("long") == F.col("__gone")
+    kept = docs.join(sized(gone, gone.count()), same & (_digest("text") == F.col("__digest")) if several else same, "left_anti")
     repeats = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again"))
     if repeats.isEmpty():
         return kept
     again = kept.join(repeats, F.col("doc_id") == F.col("__again"), "left_semi")
-    order = [F.xxhash64("text"), *(F.col(c) for c in docs.columns if c not in ("doc_id", "text") and not dict(docs.dtypes)[c].startswith(("map", "variant")))]
-    one = again.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter("__r = 1").drop("__r")
+    order = [F.col("doc_id"), *(F.col(c) for c in docs.columns if c not in ("doc_id", "text") and not dict(docs.dtypes)[c].startswith(("map", "variant")))]
+    one = again.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*order))).filter("__r = 1").drop("__r")
     return kept.join(repeats, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(one)

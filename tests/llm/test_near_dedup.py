@@ -1,6 +1,7 @@
 """Near duplicates against brute force, and edge cases."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 from skein.llm import near_dedup
@@ -71,6 +72,16 @@ def test_edges(spark):
     assert near_dedup.near_groups(df.limit(0)).isEmpty() and near_dedup.drop_near_copies(df.limit(0)).isEmpty()
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"}
+    rows = [(1, text["a"]), (2, text["a"] + " more"), (2, text["b"]), (3, text["b"]), (4, text["c"]), (4, text["d"]), (4, text["d"]), (5, text["d"] + " more"), (6, text["e"]), (7, text["f"]), (7, text["f"] + " more"), (8, ""), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.group_id) for r in near_dedup.near_groups(df).collect())
+    assert got == [(1, 1), (2, 1), (2, 2), (3, 2), (4, 4), (5, 4), (7, 7)]
+    kept = Counter((r.doc_id, (r.text or "")[:1]) for r in near_dedup.drop_near_copies(df).collect())
+    assert kept == Counter([(1, "a"), (2, "b"), (4, "c"), (4, "d"), (6, "e"), (7, "f"), (8, ""), (8, "")])
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 55), (7, 7)], "a long, b long")
     got = {r.node: r.c for r in near_dedup.components(edges).collect()}
