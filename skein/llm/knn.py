@@ -28,6 +28,7 @@ from . import common
 LEAF = 256
 SHARD_ROWS = 20_000
 _EPS = 1e-9
+_UNIT = 2.0**-53
 
 
 class Tree:
@@ -87,7 +88,8 @@ class Best:
         limit = self.kth()[rows]
         if len(ids) > self.k:
             limit = np.minimum(limit, np.partition(approx, self.k, axis=1)[:, self.k])  # one more, as it may be the query itself
-        i, j = np.nonzero(approx <= (limit + _EPS * (1 + np.minimum(limit, 1e300)))[:, None])
+        rounding = 4 * (x.shape[1] + 4) * _UNIT * (self.norm[rows] + norm.max())  # of two values of approx, at most
+        i, j = np.nonzero(approx <= (limit + _EPS * (1 + np.minimum(limit, 1e300)) + rounding)[:, None])
         if own is not None:
             other = j - own != rows[i]
             i, j = i[other], j[other]

@@ -69,6 +69,19 @@ def test_nearest_against_brute_force(spark):
     assert knn.nearest(df.limit(0)).isEmpty()
 
 
+def test_close_ties_of_long_vectors():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(12, 64))
+    x *= 1e6 / np.linalg.norm(x, axis=1)[:, None]
+    x = np.repeat(x, 25, axis=0) + rng.integers(0, 2, (300, 64)) * 2.0**-12
+    tree = knn.Tree(x, np.arange(300), 64)
+    best = knn.Best(tree.x, 5)
+    knn.search(tree, best, 0)
+    for q, own, got in zip(tree.x, tree.ids, best.id):
+        d = ((x - q) ** 2).sum(axis=1)
+        assert got.tolist() == [j for _, j in sorted((d[j], j) for j in range(300) if j != own)[:5]]
+
+
 def brute_shard(ids, edges, shards, slack, iterations, seed, key, half):
     """The same propagation, one document at a time."""
     order = sorted(ids, key=lambda i: (key[i], i))
