@@ -10,9 +10,10 @@ three array accesses look up a rank.
 1. Texts are split by the vocabulary's pattern, in one vectorised pass over the
    classes of their characters. Words that are no pieces themselves are counted,
    the most frequent ``dictionary_words`` are folded and written to the shared
-   folder: the dictionary.
-2. Each document's words are looked up among pieces and dictionary, a batch of
-   documents at a time. Words outside, rare by construction, are folded in place
+   folder as sorted digest arrays with their ids (see ``digests``): the dictionary.
+2. Each document's words are looked up, a few documents at a time: the distinct ones
+   among the pieces, and those that are none in the dictionary, which workers
+   map into memory. Words outside, rare by construction, are folded in place
    by the same expression. No word's position is ever shuffled.
 
 Words of more than LONG bytes (a text of one long run of letters, say) would
@@ -26,6 +27,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import os
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -33,12 +35,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import common
+from . import common, digests
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LONG = 256
@@ -50,9 +52,27 @@ _NONE = 1 << _ID  # above all ranks
 
 @lru_cache(4)
 def read_ranks(path: str) -> dict[bytes, int]:
-    """Ranks by piece, from a file of lines of a base64 piece and its rank."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    """Ranks by piece, from a file of lines of a base64 piece and its rank; path may be a URI."""
+    fs, p = common.open_fs(path if "://" in path else "file://" + os.path.abspath(path))
+    with fs.open_input_stream(p) as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f.read().splitlines() if line.strip())}
+
+
+_spread: dict[tuple[str, str], str] = {}
+
+
+def _spread_vocabulary(spark: SparkSession, path: str) -> str:
+    """The URI of a copy of the vocabulary's file in the shared folder, as executors may lack the file itself."""
+    key = (common.shared_dir(spark), path)
+    if key not in _spread:
+        uri = common.new_path(spark, "vocabulary")
+        fs, p = common.open_fs(uri)
+        fs.create_dir(os.path.dirname(p), recursive=True)
+        src, q = common.open_fs(path if "://" in path else "file://" + os.path.abspath(path))
+        with src.open_input_stream(q) as f, fs.open_output_stream(p) as g:
+            g.write(f.read())
+        _spread[key] = uri
+    return _spread[key]
 
 
 @lru_cache(4)
@@ -272,76 +292,68 @@ def split_words(texts: pa.Array) -> tuple[pa.LargeStringArray, np.ndarray]:
     return words, np.searchsorted(ends[:-1], off)
 
 
-_loaded: dict[str, tuple[pa.Array, pa.Array]] = {}
-
-
 @lru_cache(4)
-def _whole(path: str) -> tuple[pa.LargeStringArray, pa.Array]:
-    """The pieces that are UTF-8, and their ids."""
-    ranks = read_ranks(path)
-    good = []
-    for p, r in ranks.items():
+def _whole(path: str) -> pa.LargeStringArray:
+    """The pieces that are UTF-8."""
+
+    def text(p: bytes) -> str | None:
         try:
-            good.append((p.decode(), r))
+            return p.decode()
         except UnicodeDecodeError:
-            pass
-    return pa.array([p for p, _ in good], pa.large_string()), pa.array([[r] for _, r in good], pa.large_list(pa.int32()))
-
-
-def _dictionary(uri: str, vocabulary: str) -> tuple[pa.Array, pa.Array]:
-    """Pieces and dictionary: words and ids; each worker reads them once."""
-    if uri not in _loaded:
-        fs, path = common.open_fs(uri)
-        t = pq.read_table(path, columns=["w", "ids"], filesystem=fs)
-        words, ids = _whole(vocabulary)
-        _loaded.clear()
-        _loaded[uri] = (
-            pa.concat_arrays([words, *t["w"].cast(pa.large_string()).chunks]),
-            pa.concat_arrays([ids, *t["ids"].cast(pa.large_list(pa.int32())).chunks]),
-        )
-    return _loaded[uri]
-
+            return None
 
-def _lookup(uri: str, vocabulary: str):
+    return pa.array([t for p in read_ranks(path) if (t := text(p)) is not None], pa.large_string())
+
+
+def _ids_of(words: pa.LargeStringArray, ranks: dict[bytes, int], shards: list[digests.Shard]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct words: whether the ids of each are known, how many it has, and all of them, one word's after the other's."""
+    text = words.cast(pa.large_binary()).to_pylist()
+    n, parts = np.ones(len(text), dtype=np.int64), []
+    piece = np.array([ranks.get(w, -1) for w in text], dtype=np.int64)
+    other = np.flatnonzero(piece < 0)
+    keys = np.array([xxhash.xxh64_intdigest(text[i], 42) for i in other], dtype=np.uint64).view(np.int64)  # as Spark's xxhash64
+    where, place = digests.probe(keys, words.take(pa.array(other)), shards)
+    n[other], stored = digests.values(where, place, shards)
+    lost = other[where < 0]
+    for i in lost.tolist():
+        if len(text[i]) > LONG:
+            parts.append(np.array(merge_long(text[i], ranks), dtype=np.int32))
+            n[i] = len(parts[-1])
+    start = np.cumsum(n) - n
+    out = np.empty(int(n.sum()), dtype=np.int32)
+    out[start[piece >= 0]] = piece[piece >= 0]
+    found, long = other[where >= 0], lost[n[lost] > 0]
+    out[digests.spread(start[found], n[found])] = stored
+    out[digests.spread(start[long], n[long])] = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return n > 0, n, out
+
+
+def _lookup(shards: list[digests.Shard], vocabulary: str):
     """text -> (segs, miss): ids between the words that pieces and dictionary lack, and these."""
 
     def look_up(col: pa.Array) -> pa.StructArray:
-        words, ids = _dictionary(uri, vocabulary)
         flat, off = split_words(col)
-        at = pc.index_in(flat, value_set=words)
-        lost = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
-        found = pc.take(ids, at)  # null where the word is lost
-        length = pc.fill_null(pc.list_value_length(found), 0).to_numpy().astype(np.int64)
+        d = flat.dictionary_encode()
+        which = d.indices.to_numpy()
+        known, n, ids = _ids_of(d.dictionary, read_ranks(vocabulary), shards)
+        first = np.cumsum(n) - n
+        length = n[which]
+        values = pa.array(ids[digests.spread(first[which], length)], pa.int32())
         ends = np.concatenate(([0], np.cumsum(length)))
-        values = found.flatten().cast(pa.int32())
-        lost_words = [x.encode() for x in flat.take(pa.array(lost)).to_pylist()]
-        long = [i for i, x in enumerate(lost_words) if len(x) > LONG]
-        if long:  # their ids are known at once
-            ranks = read_ranks(vocabulary)
-            parts, done = [], 0
-            for i in long:
-                parts += [values.slice(done, ends[lost[i]] - done), pa.array(merge_long(lost_words[i], ranks), pa.int32())]
-                done = ends[lost[i]]
-            grown = np.zeros(len(length), dtype=np.int64)
-            grown[lost[long]] = [len(x) for x in parts[1::2]]
-            values = pa.concat_arrays([*parts, values.slice(done)])
-            ends = np.concatenate(([0], np.cumsum(length + grown)))
-            keep = np.ones(len(lost), dtype=bool)
-            keep[long] = False
-            lost, lost_words = lost[keep], [x for x, k in zip(lost_words, keep) if k]
+        lost = np.flatnonzero(~known[which])
         # a document's segments end at its lost words and at its end
         n_docs = len(off) - 1
         before = np.searchsorted(lost, off)  # lost words before each document
         seg_end = np.sort(np.concatenate((ends[lost], ends[off[1:]])), kind="stable") if n_docs else np.zeros(0, np.int64)
         segs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], seg_end)).astype(np.int32)), values)
         outer = pa.array((before + np.arange(n_docs + 1)).astype(np.int32))
-        miss = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(lost_words, pa.binary()))
+        miss = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), flat.take(pa.array(lost)).cast(pa.large_binary()).cast(pa.binary()))
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(outer, segs), miss], ["segs", "miss"])
 
     @F.arrow_udf("segs array<array<int>>, miss array<binary>")
     def look(col: pa.Array) -> pa.Array:
         parts = []
-        for p in common.slices(col, 4 << 20):
+        for p in common.slices(col, _CHUNK):
             parts.append(look_up(p))
             pa.default_memory_pool().release_unused()
         return pa.concat_arrays(parts) if parts else look_up(col)
@@ -351,8 +363,8 @@ def _lookup(uri: str, vocabulary: str):
 
 def _count_words(vocabulary: str):
     def run(batches):
-        pieces, _ = _whole(vocabulary)
-        for part in (p for b in batches for p in common.slices(b.column(0), 16 << 20)):
+        pieces = _whole(vocabulary)
+        for part in (p for b in batches for p in common.slices(b.column(0), _CHUNK)):
             words, _ = split_words(part)
             if not len(words):
                 continue
@@ -366,14 +378,14 @@ def _count_words(vocabulary: str):
     return run
 
 
-def build_dictionary(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = DICTIONARY_WORDS) -> str:
-    """Writes (w, ids) of the words that occur most often in docs and are no pieces, and gives the path.
+def build_dictionary(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = DICTIONARY_WORDS) -> list[digests.Shard]:
+    """Writes the ids of the words that occur most often in docs and are no pieces, and gives the shards of the dictionary.
 
     Words are taken by whole counts, from the highest down, as long as
-    they are no more than ``size``.
+    they are no more than ``size``, which bounds what a machine maps; ids are the same at any size.
     """
     spark = docs.sparkSession
-    words = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(_count_words(vocabulary), "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    words = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(_count_words(_spread_vocabulary(spark, vocabulary)), "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     counts, counts_path = common.write_table(words, "words")
     by_count = counts.groupBy("n").agg(F.count("*").alias("words"))
     ahead = F.sum("words").over(Window.orderBy(F.desc("n")))
@@ -381,24 +393,26 @@ def build_dictionary(docs: DataFrame, vocabulary: str = VOCABULARY, size: int =
     least, total = (row[0], row[1]) if row[0] is not None else (1 << 62, 0)
     hot = counts.filter(F.col("n") >= least).select("w")
     parts = max(spark.sparkContext.defaultParallelism, total // 50_000 + 1)
-    path = common.new_path(spark, "dictionary")
-    hot.repartition(parts).select("w", Merger(vocabulary).fold(F.col("w").cast("binary")).alias("ids")).write.parquet(path)
-    common.remove(spark, counts_path)
-    return path
+    folded = hot.repartition(parts).select(F.xxhash64("w").alias("key"), F.col("w").alias("s"), Merger(vocabulary).fold(F.col("w").cast("binary")).alias("values"))
+    folded, folded_path = common.write_table(folded, "folded")
+    shards = digests.write(folded, "dictionary", max(1, -(-total // digests.SHARD_ROWS)))
+    common.remove(spark, counts_path, folded_path)
+    return shards
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, dictionary_words: int = DICTIONARY_WORDS, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, n_tokens, token_ids) for each row of docs.
 
-    A null or empty text has no tokens. Rows with null or repeated doc_id have
+    A null or empty text has no tokens, a text of any length is encoded whole. Rows with null or repeated doc_id have
     rows of their own; an empty table gives an empty result. Special tokens'
     strings are ordinary text. Columns of docs named in keep are added; others
     aren't read.
     """
-    uri = build_dictionary(docs, vocabulary, dictionary_words)
+    shards = build_dictionary(docs, vocabulary, dictionary_words)
     merger = Merger(vocabulary)
     kept = [docs[c] for c in keep or []]
-    x = docs.select(docs["doc_id"], *kept, _lookup(uri, vocabulary)(docs["text"].cast("string")).alias("x"))
+    look = _lookup(shards, _spread_vocabulary(docs.sparkSession, vocabulary))
+    x = docs.select(docs["doc_id"], *kept, look(docs["text"].cast("string")).alias("x"))
     segs, miss = F.col("x.segs"), F.col("x.miss")
     filled = F.transform(miss, lambda w, i: F.concat(F.get(segs, i), merger.fold(w)))
     ids = F.when(F.size(miss) == 0, F.get(segs, F.lit(0))).otherwise(F.concat(F.flatten(filled), F.get(segs, F.size(miss))))
@@ -425,7 +439,12 @@ def decode_ids(col: pa.Array, vocabulary: str = VOCABULARY) -> pa.Array:
 
 
 def decode(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """df(doc_id, token_ids) with the texts of the ids: (doc_id, text)."""
+    """df(doc_id, token_ids) with the texts of the ids: (doc_id, text).
+
+    Null ids have a null text, none an empty one. Rows with null or repeated doc_id have rows of their own, an empty
+    table gives an empty result, other columns aren't read. Ids that the vocabulary lacks are an error.
+    """
+    vocabulary = _spread_vocabulary(df.sparkSession, vocabulary)
 
     def run(batches):
         for b in batches:
@@ -436,10 +455,11 @@ def decode(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def encode_checked(docs: DataFrame, vocabulary: str = VOCABULARY, dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
     """encode's columns and round_trip: whether decoding the ids gives the text (a null counts as empty)."""
+    spread = _spread_vocabulary(docs.sparkSession, vocabulary)
 
     def run(batches):
-        for b in batches:
-            same = pc.equal(decode_ids(b.column(2), vocabulary), pc.fill_null(b.column(3), "").cast(pa.large_string()))
+        for b in (whole.slice(i, 2000) for whole in batches for i in range(0, len(whole), 2000)):
+            same = pc.equal(decode_ids(b.column(2), spread), pc.fill_null(b.column(3), "").cast(pa.large_string()))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], same], ["doc_id", "n_tokens", "token_ids", "round_trip"])
 
     x = encode(docs, vocabulary, dictionary_words, keep=["text"])

@@ -118,7 +118,7 @@ def count_tokens(files: DataFrame, eod: int = EOD, dtype: str = DTYPE, block_byt
     blocks = whole.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / step))).alias("block"))
     blocks = blocks.select("path", "block", (F.col("block") * step).alias("start"), F.least((F.col("block") + 1) * step, "bytes").alias("stop"))
     blocks, blocks_path = common.write_table(blocks, "blocks")
-    parts = max(spark.sparkContext.defaultParallelism, -(-blocks.count() // 4))
+    parts = max(spark.sparkContext.defaultParallelism, -(-blocks.count() * step // (4 * BLOCK_BYTES)))
     found, _ = common.write_table(blocks.repartition(parts, "path", "block").mapInArrow(_scan(eod, dtype), "path string, block long, base long, n long, n_seps long, last long, seps array<int>"), "separators")
     common.remove(spark, blocks_path)
 

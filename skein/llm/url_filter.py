@@ -1,11 +1,9 @@
 """URL filter by a sorted digest array.
 
-A block list is written as shards, each three flat files in the shared folder:
-the sorted 64-bit xxhash keys of its rules, the offsets of their strings, and
-the strings. Workers memory-map them, probe all keys of a batch by a vectorised
-binary search, and confirm each hit against the stored string, so that colliding
-keys never block a URL. A worker keeps only the pages in memory that its probes
-touch; nothing is broadcast.
+A block list is written as shards of sorted 64-bit xxhash keys beside their
+strings (see ``digests``). Workers memory-map them, probe all keys of a batch by a
+vectorised binary search, and confirm each hit against the stored string, so that
+colliding keys never block a URL.
 
 Rules are "host:H", which blocks H and its subdomains, or "url:U", which blocks
 one page: U is host, path and query of a URL, without scheme, port and fragment.
@@ -13,19 +11,15 @@ one page: U is host, path and query of a URL, without scheme, port and fragment.
 
 from __future__ import annotations
 
-import os
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, digests
 
 #: Rules in a shard, about.
-SHARD_RULES = 4_000_000
+SHARD_RULES = digests.SHARD_ROWS
 
 
 def host_of(url: Column) -> Column:
@@ -45,75 +39,14 @@ def rules_of(url: Column) -> Column:
     return F.when(host_of(url) == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(F.concat(F.lit("url:"), page_of(url))), hosts))
 
 
-def write_filter(rules: DataFrame, shard_rules: int = SHARD_RULES) -> list[tuple[str, int, int]]:
-    """Writes the digest arrays of rules(rule), and gives each shard's path and its least and greatest key.
-
-    Null and repeated rules count once or not at all. A shard is written under a
-    name of its attempt and then renamed, so that a repeated task does no harm.
-    """
-    spark = rules.sparkSession
-    uri = common.new_path(spark, "urlfilter")
-    distinct, path = common.write_table(rules.filter("rule is not null").select("rule").distinct().withColumn("key", F.xxhash64("rule")), "rules")
-    shards = max(1, -(-distinct.count() // shard_rules))
-
-    def write(batches):
-        keys, texts = [], []
-        for b in batches:
-            keys.append(b.column(0).to_numpy())
-            texts.append(b.column(1).cast(pa.large_string()))
-        if not keys or not sum(map(len, keys)):
-            return
-        k = np.concatenate(keys)
-        t = pa.concat_arrays(texts)
-        off = np.frombuffer(t.buffers()[1], dtype=np.int64, count=len(t) + 1 + t.offset)[t.offset :]
-        data = np.frombuffer(t.buffers()[2], dtype=np.uint8)[off[0] : off[-1]]
-        fs, base = common.open_fs(uri)
-        fs.create_dir(base, recursive=True)
-        ctx = TaskContext.get()
-        for suffix, a in ((".keys", k), (".offsets", off - off[0]), (".strings", data)):
-            tmp = f"{base}/.{ctx.partitionId()}-{ctx.taskAttemptId()}{suffix}"
-            with fs.open_output_stream(tmp) as f:
-                f.write(pa.py_buffer(np.ascontiguousarray(a)))
-            fs.move(tmp, f"{base}/{ctx.partitionId():05d}{suffix}")
-        yield pa.RecordBatch.from_arrays([pa.array([f"{uri}/{ctx.partitionId():05d}"]), pa.array([int(k[0])]), pa.array([int(k[-1])])], ["path", "lo", "hi"])
-
-    ordered = distinct.select("key", "rule").repartitionByRange(shards, "key").sortWithinPartitions("key", "rule")
-    out = sorted((r["path"], r["lo"], r["hi"]) for r in ordered.mapInArrow(write, "path string, lo long, hi long").collect())
-    common.remove(spark, path)
-    if not uri.startswith("file:"):  # Spark hands the files to each executor, which maps its own copies
-        for p, _, _ in out:
-            for suffix in (".keys", ".offsets", ".strings"):
-                spark.sparkContext.addFile(p + suffix)
+def write_filter(rules: DataFrame, shard_rules: int = SHARD_RULES) -> list[digests.Shard]:
+    """Writes the digest arrays of rules(rule), and gives their shards. Null and repeated rules count once or not at all."""
+    distinct, path = common.write_table(rules.filter("rule is not null").select(F.col("rule").alias("s")).distinct().withColumn("key", F.xxhash64("s")), "rules")
+    out = digests.write(distinct, "urlfilter", max(1, -(-distinct.count() // shard_rules)))
+    common.remove(rules.sparkSession, path)
     return out
 
 
-@lru_cache(64)
-def _shard(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    local = (lambda s: path[len("file:") :].replace("//", "/", 1) + s) if path.startswith("file:") else (lambda s: SparkFiles.get(os.path.basename(path) + s))
-    read = lambda s, t: np.memmap(local(s), dtype=t, mode="r") if os.path.getsize(local(s)) else np.zeros(0, t)
-    return read(".keys", np.int64), read(".offsets", np.int64), read(".strings", np.uint8)
-
-
-def probe(keys: np.ndarray, strings: pa.Array, shards: list[tuple[str, int, int]]) -> np.ndarray:
-    """Whether each string, of the given key, is a stored rule."""
-    hit = np.zeros(len(keys), dtype=bool)
-    for path, lo, hi in shards:
-        mine = np.flatnonzero((keys >= lo) & (keys <= hi))
-        stored, off, data = _shard(path)
-        at = np.searchsorted(stored, keys[mine])
-        open_ = at < len(stored)
-        mine, at = mine[open_], at[open_]
-        same = stored[at] == keys[mine]
-        for i, p in zip(mine[same].tolist(), at[same].tolist()):
-            s = strings[i].as_py().encode()
-            while p < len(stored) and stored[p] == keys[i]:  # rules of one key lie side by side
-                if data[off[p] : off[p + 1]].tobytes() == s:
-                    hit[i] = True
-                    break
-                p += 1
-    return hit
-
-
 def blocked(urls: DataFrame, rules: DataFrame, url: str = "url", id_: str = "page_id", shard_rules: int = SHARD_RULES) -> DataFrame:
     """(page_id, url, rule, blocked) for each row of urls: the most specific rule that blocks it, or null.
 
@@ -128,7 +61,7 @@ def blocked(urls: DataFrame, rules: DataFrame, url: str = "url", id_: str = "pag
             cand, keys = b.column("c"), b.column("k")
             off = cand.offsets.to_numpy().astype(np.int64)
             flat = cand.values.slice(off[0], off[-1] - off[0])
-            hit = probe(keys.values.slice(off[0], off[-1] - off[0]).to_numpy(zero_copy_only=False), flat, shards)
+            hit = digests.probe(keys.values.slice(off[0], off[-1] - off[0]).to_numpy(zero_copy_only=False), flat, shards)[0] >= 0
             off = off - off[0]
             at = np.flatnonzero(hit)
             first = np.searchsorted(at, off[:-1])

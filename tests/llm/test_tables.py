@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skein.llm import common, knn, mixing, queries, sharding, url_filter
+from skein.llm import common, digests, knn, mixing, queries, sharding, url_filter
 from tests.compare import difference
 
 
@@ -47,7 +47,7 @@ def test_colliding_keys_are_confirmed(tmp_path):
     np.array([7, 7], np.int64).tofile(tmp_path / "s.keys")
     np.array([0, 3, 6], np.int64).tofile(tmp_path / "s.offsets")
     (tmp_path / "s.strings").write_bytes(b"".join(data))
-    hit = url_filter.probe(np.array([7, 7, 8], np.int64), pa.array(["two", "xxx", "one"]), [(f"file://{tmp_path}/s", 7, 7)])
+    hit = digests.probe(np.array([7, 7, 8], np.int64), pa.array(["two", "xxx", "one"]), [(f"file://{tmp_path}/s", 7, 7)])[0] >= 0
     assert hit.tolist() == [True, False, False]
 
 
