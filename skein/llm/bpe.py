@@ -19,7 +19,7 @@ three array accesses look up a rank.
 Words of more than LONG bytes (a text of one long run of letters, say) would
 need quadratic time in the fold; they are merged with a heap, to the same result.
 
-Decoding gathers the pieces of the ids and concatenates them.
+Decoding gathers the pieces of the ids from a literal array and concatenates them, in the JVM.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import common, digests
@@ -75,13 +76,6 @@ def _spread_vocabulary(spark: SparkSession, path: str) -> str:
     return _spread[key]
 
 
-@lru_cache(4)
-def _pieces(path: str) -> pa.Array:
-    ranks = read_ranks(path)
-    by_id = {r: p for p, r in ranks.items()}
-    return pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.large_binary())
-
-
 def _last_pair(piece: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
     """The two pieces whose merge gives a piece, the only ones that can ever stand side by side and give it. None if no merge does."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -211,7 +205,7 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 _OTHER, _LETTER, _NUMBER, _BLANK = range(4)
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 
 
 @lru_cache(1)
@@ -328,37 +322,41 @@ def _ids_of(words: pa.LargeStringArray, ranks: dict[bytes, int], shards: list[di
     return n > 0, n, out
 
 
+def _look_up(col: pa.Array, ranks: dict[bytes, int], shards: list[digests.Shard]) -> tuple[pa.ListArray, pa.ListArray]:
+    """Of each text: the ids between the words that pieces and dictionary lack, and these words."""
+    flat, off = split_words(col)
+    d = flat.dictionary_encode()
+    which = d.indices.to_numpy()
+    known, n, ids = _ids_of(d.dictionary, ranks, shards)
+    first = np.cumsum(n) - n
+    length = n[which]
+    values = pa.array(ids[digests.spread(first[which], length)], pa.int32())
+    ends = np.concatenate(([0], np.cumsum(length)))
+    lost = np.flatnonzero(~known[which])
+    # a document's segments end at its lost words and at its end
+    n_docs = len(off) - 1
+    before = np.searchsorted(lost, off)  # lost words before each document
+    seg_end = np.sort(np.concatenate((ends[lost], ends[off[1:]])), kind="stable") if n_docs else np.zeros(0, np.int64)
+    segs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], seg_end)).astype(np.int32)), values)
+    outer = pa.array((before + np.arange(n_docs + 1)).astype(np.int32))
+    miss = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), flat.take(pa.array(lost)).cast(pa.large_binary()).cast(pa.binary()))
+    return pa.ListArray.from_arrays(outer, segs), miss
+
+
 def _lookup(shards: list[digests.Shard], vocabulary: str):
-    """text -> (segs, miss): ids between the words that pieces and dictionary lack, and these."""
-
-    def look_up(col: pa.Array) -> pa.StructArray:
-        flat, off = split_words(col)
-        d = flat.dictionary_encode()
-        which = d.indices.to_numpy()
-        known, n, ids = _ids_of(d.dictionary, read_ranks(vocabulary), shards)
-        first = np.cumsum(n) - n
-        length = n[which]
-        values = pa.array(ids[digests.spread(first[which], length)], pa.int32())
-        ends = np.concatenate(([0], np.cumsum(length)))
-        lost = np.flatnonzero(~known[which])
-        # a document's segments end at its lost words and at its end
-        n_docs = len(off) - 1
-        before = np.searchsorted(lost, off)  # lost words before each document
-        seg_end = np.sort(np.concatenate((ends[lost], ends[off[1:]])), kind="stable") if n_docs else np.zeros(0, np.int64)
-        segs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], seg_end)).astype(np.int32)), values)
-        outer = pa.array((before + np.arange(n_docs + 1)).astype(np.int32))
-        miss = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), flat.take(pa.array(lost)).cast(pa.large_binary()).cast(pa.binary()))
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(outer, segs), miss], ["segs", "miss"])
-
-    @F.arrow_udf("segs array<array<int>>, miss array<binary>")
-    def look(col: pa.Array) -> pa.Array:
-        parts = []
-        for p in common.slices(col, _CHUNK):
-            parts.append(look_up(p))
-            pa.default_memory_pool().release_unused()
-        return pa.concat_arrays(parts) if parts else look_up(col)
+    """Batches whose last column is the text, with columns segs and miss in addition. A few texts are held as words at a time."""
+
+    def run(batches):
+        ranks = read_ranks(vocabulary)
+        for b in batches:
+            for i, j in common.ranges(b.column(b.num_columns - 1), _CHUNK):
+                part = b.slice(i, j - i)
+                segs, miss = _look_up(part.column(b.num_columns - 1), ranks, shards)
+                yield pa.RecordBatch.from_arrays([*part.columns, segs, miss], [*b.schema.names, "segs", "miss"])
+                del part, segs, miss
+                pa.default_memory_pool().release_unused()
 
-    return look
+    return run
 
 
 def _count_words(vocabulary: str):
@@ -400,67 +398,47 @@ def build_dictionary(docs: DataFrame, vocabulary: str = VOCABULARY, size: int =
     return shards
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, dictionary_words: int = DICTIONARY_WORDS, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, dictionary_words: int = DICTIONARY_WORDS, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_tokens, token_ids) for each row of docs.
 
     A null or empty text has no tokens, a text of any length is encoded whole. Rows with null or repeated doc_id have
     rows of their own; an empty table gives an empty result. Special tokens'
-    strings are ordinary text. Columns of docs named in keep are added; others
+    strings are ordinary text. keep_text adds the text; other columns of docs
     aren't read.
     """
     shards = build_dictionary(docs, vocabulary, dictionary_words)
     merger = Merger(vocabulary)
-    kept = [docs[c] for c in keep or []]
-    look = _lookup(shards, _spread_vocabulary(docs.sparkSession, vocabulary))
-    x = docs.select(docs["doc_id"], *kept, look(docs["text"].cast("string")).alias("x"))
-    segs, miss = F.col("x.segs"), F.col("x.miss")
-    filled = F.transform(miss, lambda w, i: F.concat(F.get(segs, i), merger.fold(w)))
-    ids = F.when(F.size(miss) == 0, F.get(segs, F.lit(0))).otherwise(F.concat(F.flatten(filled), F.get(segs, F.size(miss))))
-    x = x.select("doc_id", *(keep or []), ids.alias("token_ids"))
-    return x.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", *(keep or []))
-
-
-def decode_ids(col: pa.Array, vocabulary: str = VOCABULARY) -> pa.Array:
-    """The texts of arrays of ids. Null for null ids; bytes that aren't UTF-8 become U+FFFD."""
-    off = col.offsets.to_numpy().astype(np.int64)
-    pieces = pc.take(_pieces(vocabulary), col.values.slice(off[0], off[-1] - off[0]))
-    off = off - off[0]
-    if len(pieces):
-        ends = np.frombuffer(pieces.buffers()[1], dtype=np.int64, count=len(pieces) + 1 + pieces.offset)[pieces.offset :]
-        data = pieces.buffers()[2] or pa.py_buffer(b"")
-    else:
-        ends, data = np.zeros(1, np.int64), pa.py_buffer(b"")
-    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(col), [None, pa.py_buffer(ends[off].tobytes()), data])
-    try:
-        out = whole.cast(pa.large_string())
-    except pa.ArrowInvalid:
-        out = pa.array([x.decode(errors="replace") for x in whole.to_pylist()], pa.large_string())
-    return pc.if_else(col.is_valid(), out, pa.scalar(None, pa.large_string()))
+    x = docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"))
+    schema = T.StructType([*x.schema.fields, T.StructField("segs", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("miss", T.ArrayType(T.BinaryType()))])
+    x = x.mapInArrow(_lookup(shards, _spread_vocabulary(docs.sparkSession, vocabulary)), schema)
+    filled = F.transform("miss", lambda w, i: F.concat(F.get("segs", i), merger.fold(w)))
+    ids = F.when(F.size("miss") == 0, F.get("segs", F.lit(0))).otherwise(F.concat(F.flatten(filled), F.get("segs", F.size("miss"))))
+    x = x.select("doc_id", *(["text"] if keep_text else []), ids.alias("token_ids"))
+    return x.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", *(["text"] if keep_text else []))
 
 
-def decode(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """df(doc_id, token_ids) with the texts of the ids: (doc_id, text).
+def decoded(ids: Column, vocabulary: str = VOCABULARY) -> Column:
+    """The bytes (binary) of an array of ids: their pieces one after the other. Null for null ids; an id that the vocabulary lacks is an error.
 
-    Null ids have a null text, none an empty one. Rows with null or repeated doc_id have rows of their own, an empty
-    table gives an empty result, other columns aren't read. Ids that the vocabulary lacks are an error.
+    The pieces are a literal of the plan, their bytes as the characters of those codes.
     """
-    vocabulary = _spread_vocabulary(df.sparkSession, vocabulary)
+    by_id = {r: p.decode("latin-1") for p, r in read_ranks(vocabulary).items()}
+    pieces = F.from_json(F.lit(json.dumps([by_id.get(i) for i in range(max(by_id) + 1)])), "array<string>")  # folded to a literal
+    whole = lambda p: F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(p, i), F.raise_error(F.concat(F.lit("no piece has the id "), i.cast("string"))).cast("string"))), "")
+    return F.encode(_let(pieces, whole), "ISO-8859-1")
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), decode_ids(b.column(1), vocabulary).cast(pa.string())], ["doc_id", "text"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "token_ids").mapInArrow(run, "doc_id long, text string")
+def decode(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """df(doc_id, token_ids) with the texts of the ids: (doc_id, text). Bytes that aren't UTF-8 become U+FFFD.
+
+    Null ids have a null text, none an empty one. Rows with null or repeated doc_id have rows of their own, an empty
+    table gives an empty result, other columns aren't read. An id that the vocabulary lacks is an error.
+    """
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8(decoded(F.col("token_ids"), vocabulary).cast("string")).alias("text"))
 
 
 def encode_checked(docs: DataFrame, vocabulary: str = VOCABULARY, dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
     """encode's columns and round_trip: whether decoding the ids gives the text (a null counts as empty)."""
-    spread = _spread_vocabulary(docs.sparkSession, vocabulary)
-
-    def run(batches):
-        for b in (whole.slice(i, 2000) for whole in batches for i in range(0, len(whole), 2000)):
-            same = pc.equal(decode_ids(b.column(2), spread), pc.fill_null(b.column(3), "").cast(pa.large_string()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], same], ["doc_id", "n_tokens", "token_ids", "round_trip"])
-
-    x = encode(docs, vocabulary, dictionary_words, keep=["text"])
-    return x.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "token_ids", "text").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
+    x = encode(docs, vocabulary, dictionary_words, keep_text=True)
+    same = decoded(F.col("token_ids"), vocabulary) == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return x.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "token_ids", same.alias("round_trip"))

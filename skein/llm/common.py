@@ -62,6 +62,18 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, none of which df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        n = f"__{n}"
+        while n in taken:
+            n += "_"
+        taken.add(n)
+        out.append(n)
+    return out
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow filesystem of a URI, and the path in it; usable in workers."""
     return pafs.FileSystem.from_uri(uri)
@@ -138,16 +150,22 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), np.searchsorted(starts, off)
 
 
-def slices(texts: pa.Array, size: int = 2 << 20) -> Iterator[pa.Array]:
-    """texts in parts of about size bytes, of one text at least."""
+def ranges(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Half-open ranges of texts of about size bytes, of one text at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
     i = 0
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size)))
-        yield texts.slice(i, j - i)
+        yield i, j
         i = j
 
 
+def slices(texts: pa.Array, size: int = 2 << 20) -> Iterator[pa.Array]:
+    """texts in parts of about size bytes, of one text at least."""
+    for i, j in ranges(texts, size):
+        yield texts.slice(i, j - i)
+
+
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of ``width`` words.
 
