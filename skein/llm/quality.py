@@ -34,7 +34,7 @@ from .near_dedup import sized
 WORD = r"[^ \t\n\r\f\x0B]+"
 SYMBOLS = "!#$%&*|<>{}~^=+@_\\"
 #: rule -> (hard bound, soft bound)
-BOUNDS = {"symbols": (0.05, 0.03), "capitals": (0.4, 0.3), "digits": (0.5, 0.4), "lines": (0.5, 0.4), "variety": (3.0, 3.5), "word_length": (25.0, 18.0)}
+BOUNDS = {"symbols": (0.05, 0.03), "capitals": (0.4, 0.3), "digits": (0.5, 0.4), "lines": (0.5, 0.4), "variety": (3.0, 3.5), "repeats": (0.3, 0.2), "word_length": (25.0, 18.0)}
 RULES = ["no_words", *BOUNDS]
 
 
@@ -47,7 +47,10 @@ def failures(text: Column) -> Column:
     - digits: share of characters that are ASCII digits, more
     - lines: share of lines that repeat another line, more (of 5 lines or more)
     - variety: distinct words over the square root of words, less (of 50 words or more)
+    - repeats: share of words that equal the word before, more (of any number of words)
     - word_length: characters a word, more
+
+    A measure that has nothing to divide by is null and fails no bound.
     """
     t = F.coalesce(text.cast("string"), F.lit(""))
     parts = F.struct(t.alias("t"), F.regexp_extract_all(t, F.lit(WORD), 0).alias("words"), F.split(t, "\n").alias("lines"))
@@ -63,7 +66,7 @@ def _measures(x: Column) -> Column:
     """What the rules measure, from struct(t, words, lines)."""
     t, words, lines = x["t"], x["words"], x["lines"]
     n, n_words, n_lines = F.length(t).cast("double"), F.size(words).cast("double"), F.size(lines).cast("double")
-    share = lambda rest: (n - F.length(rest)) / n
+    share = lambda rest: F.try_divide(n - F.length(rest), n)
     return F.struct(
         n_words.alias("n_words"),
         share(F.regexp_replace(t, f"[{re.escape(SYMBOLS)}]+", "")).alias("symbols"),
@@ -71,7 +74,8 @@ def _measures(x: Column) -> Column:
         share(F.regexp_replace(t, "[0-9]+", "")).alias("digits"),
         F.when(n_lines >= 5, 1 - F.size(F.array_distinct(lines)) / n_lines).otherwise(0.0).alias("lines"),
         F.when(n_words >= 50, F.size(F.array_distinct(words)) / F.sqrt(n_words)).otherwise(1e9).alias("variety"),
-        (n / n_words).alias("word_length"),
+        F.try_divide(F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))).cast("double"), n_words - 1).alias("repeats"),
+        F.try_divide(n, n_words).alias("word_length"),
     )
 
 
@@ -117,7 +121,7 @@ def quality_verdicts(docs: DataFrame, host: str = "source", **bounds) -> DataFra
     """One row for each row of docs: doc_id, host, the failed rules (hard, soft), the host's rate and verdict, and rejected.
 
     A null host counts as the host ''. Rows with null or repeated doc_id have
-    rows of their own. Columns other than doc_id, text and the host aren't read.
+    rows of their own. A text of any length is tested whole. Columns other than doc_id, text and the host aren't read.
     An empty table gives an empty result.
     """
     failed, _ = common.write_table(docs.select(docs["doc_id"], _host(docs, host).alias("host"), failures(docs["text"]).alias("f")), "failures")
@@ -131,14 +135,17 @@ def drop_rejected(docs: DataFrame, host: str = "source", **bounds) -> DataFrame:
     """docs without the rows that quality_verdicts rejects, all columns kept.
 
     The rules are evaluated once for the hosts' counts and once for the filter,
-    which is cheaper than a shuffle of the texts.
+    which is cheaper than a shuffle of the texts. Null and blank texts go, as they have no word. Rows of equal
+    content stay or go together, rows with null or repeated doc_id are judged by themselves, and equal rates are equal
+    verdicts. Any columns may stand beside text and the host. An empty table gives an empty result.
     """
     failed = docs.select(_host(docs, host).alias("host"), failures(docs["text"]).alias("f")).select("host", "f.hard")
-    hosts, _ = common.write_table(host_verdicts(failed, **bounds), "hosts")
-    hosts = hosts.select(F.col("host").alias("__host"), F.col("verdict").alias("__verdict"))
-    x = docs.withColumns({"__h": _host(docs, host), "__f": failures(docs["text"])})
-    x = x.join(sized(hosts, hosts.count(), 64), F.col("__h") == F.col("__host"))
-    x = x.filter(~rejected(F.col("__verdict"), F.col("__f.hard"), F.col("__f.soft")))
+    hosts, path = common.write_table(host_verdicts(failed, **bounds), "hosts")
+    h, f, name, verdict = common.fresh(docs, "h", "f", "host", "verdict")
+    hosts = hosts.select(F.col("host").alias(name), F.col("verdict").alias(verdict))
+    x = docs.withColumns({h: _host(docs, host), f: failures(docs["text"])})
+    x = x.join(sized(hosts, hosts.count(), 64), F.col(h) == F.col(name))
+    x = x.filter(~rejected(F.col(verdict), F.col(f"{f}.hard"), F.col(f"{f}.soft")))
     return x.select(*[x[f"`{c}`"] for c in docs.columns])
 
 
@@ -147,18 +154,19 @@ WITH t AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t
 m AS (
   SELECT doc_id, host, length(t)::DOUBLE AS n, len(w)::DOUBLE AS nw, len(l)::DOUBLE AS nl,
     length(translate(t, '!#$%&*|<>{}~^=+@_\', ''))::DOUBLE AS no_sym, length(regexp_replace(t, '\p{Lu}+', '', 'g'))::DOUBLE AS no_cap,
-    length(translate(t, '0123456789', ''))::DOUBLE AS no_dig, len(list_distinct(l))::DOUBLE AS dl, len(list_distinct(w))::DOUBLE AS dw
+    length(translate(t, '0123456789', ''))::DOUBLE AS no_dig, len(list_distinct(l))::DOUBLE AS dl, len(list_distinct(w))::DOUBLE AS dw,
+    len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1]))::DOUBLE AS again
   FROM (SELECT *, regexp_extract_all(t, '[^ \t\n\r\f\x0B]+') AS w, string_split(t, chr(10)) AS l FROM t)),
 s AS (
-  SELECT doc_id, host, nw, (n - no_sym) / n AS symbols, (n - no_cap) / n AS capitals, (n - no_dig) / n AS digits,
-    CASE WHEN nl >= 5 THEN 1 - dl / nl ELSE 0 END AS lines, CASE WHEN nw >= 50 THEN dw / sqrt(nw) ELSE 1e9 END AS variety, n / nw AS wl
+  SELECT doc_id, host, nw, (n - no_sym) / nullif(n, 0) AS symbols, (n - no_cap) / nullif(n, 0) AS capitals, (n - no_dig) / nullif(n, 0) AS digits,
+    CASE WHEN nl >= 5 THEN 1 - dl / nl ELSE 0 END AS lines, CASE WHEN nw >= 50 THEN dw / sqrt(nw) ELSE 1e9 END AS variety, again / nullif(nw - 1, 0) AS repeats, n / nullif(nw, 0) AS wl
   FROM m),
 f AS (
   SELECT doc_id, host,
     CASE WHEN nw = 0 THEN 'no_words' ELSE concat_ws(',', CASE WHEN symbols > 0.05 THEN 'symbols' END, CASE WHEN capitals > 0.4 THEN 'capitals' END,
-      CASE WHEN digits > 0.5 THEN 'digits' END, CASE WHEN lines > 0.5 THEN 'lines' END, CASE WHEN variety < 3.0 THEN 'variety' END, CASE WHEN wl > 25 THEN 'word_length' END) END AS hard,
+      CASE WHEN digits > 0.5 THEN 'digits' END, CASE WHEN lines > 0.5 THEN 'lines' END, CASE WHEN variety < 3.0 THEN 'variety' END, CASE WHEN repeats > 0.3 THEN 'repeats' END, CASE WHEN wl > 25 THEN 'word_length' END) END AS hard,
     CASE WHEN nw = 0 THEN 'no_words' ELSE concat_ws(',', CASE WHEN symbols > 0.03 THEN 'symbols' END, CASE WHEN capitals > 0.3 THEN 'capitals' END,
-      CASE WHEN digits > 0.4 THEN 'digits' END, CASE WHEN lines > 0.4 THEN 'lines' END, CASE WHEN variety < 3.5 THEN 'variety' END, CASE WHEN wl > 18 THEN 'word_length' END) END AS soft
+      CASE WHEN digits > 0.4 THEN 'digits' END, CASE WHEN lines > 0.4 THEN 'lines' END, CASE WHEN variety < 3.5 THEN 'variety' END, CASE WHEN repeats > 0.2 THEN 'repeats' END, CASE WHEN wl > 18 THEN 'word_length' END) END AS soft
   FROM s),
 h AS (SELECT host, count(*) AS n_docs, sum(CASE WHEN hard <> '' THEN 1 ELSE 0 END)::BIGINT AS n_failed FROM f GROUP BY host),
 q AS (SELECT avg(r) AS m, avg(r * r) - avg(r) * avg(r) AS v FROM (SELECT round(n_failed::DOUBLE / n_docs * 1e9) / 1e9 AS r FROM h)),

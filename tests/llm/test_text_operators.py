@@ -130,7 +130,7 @@ def test_quality(spark):
     rows = [(1, good, "a"), (2, "", "a"), (3, None, None), (4, "### $$$ %%% ***", "b"), (5, "line\n" * 9, "b"), (5, good, "b"), (None, good, "b"), (6, "x" * 5000, "c"), (7, " \n ", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", F.lit(3)).withColumn("rate", F.lit("clash"))
     got = [(r.doc_id, r.hard, r.rejected) for r in quality.quality_verdicts(df).collect()]
-    assert (1, "", False) in got and (2, "no_words", True) in got and (3, "no_words", True) in got and (4, "symbols", True) in got and (5, "lines", True) in got and (5, "", False) in got and (None, "", False) in got
+    assert (1, "", False) in got and (2, "no_words", True) in got and (3, "no_words", True) in got and (4, "symbols", True) in got and (5, "lines,repeats", True) in got and (5, "", False) in got and (None, "", False) in got
     kept = quality.drop_rejected(df)
     assert kept.columns == df.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 5]
     assert quality.quality_verdicts(df.limit(0)).isEmpty() and quality.drop_rejected(df.limit(0)).isEmpty()
