@@ -92,7 +92,7 @@ def _plan(docs: DataFrame, fraction: float, max_epochs: int, seed: int) -> tuple
     words = F.size(F.regexp_extract_all(F.coalesce(docs["text"].cast("string"), F.lit("")), F.lit(WORD), 0)).cast("long")
     light, _ = common.write_table(docs.select(docs["doc_id"], *[c.alias(k) for k, c in _leaf(docs).items()], words.alias("n_tokens")), "tokens")
     sums = light.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens"))
-    leaves, _ = common.write_table(leaf_budgets(sums, fraction, max_epochs), "leaves")
+    leaves, leaves_path = common.write_table(leaf_budgets(sums, fraction, max_epochs), "leaves")
     n = leaves.count()
 
     keyed = light.join(sized(leaves.select(*TREE, "epochs", "rest"), n, 200), TREE).filter("rest > 0")
@@ -101,13 +101,14 @@ def _plan(docs: DataFrame, fraction: float, max_epochs: int, seed: int) -> tuple
     parts = keyed.groupBy(*TREE, "p").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
     parts = parts.withColumn("before", F.sum("n").over(by_leaf) - F.col("n"))
     last = parts.filter("before < rest").groupBy(*TREE).agg(F.max(F.struct("p", "before")).alias("x")).select(*TREE, F.col("x.p").alias("p"), F.col("x.before").alias("before"))
-    last, _ = common.write_table(last, "last")
+    last, last_path = common.write_table(last, "last")
     inside = keyed.join(sized(last, n, 200), [*TREE, "p"])
     ahead = Window.partitionBy(*TREE).orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     same = Window.partitionBy(*TREE, "key")
     inside = inside.withColumn("before", F.col("before") + F.sum("n_tokens").over(ahead) - F.sum("n_tokens").over(same))
     cuts = inside.filter("before < rest").groupBy(*TREE).agg(F.max("key").alias("cut"))
     leaves, _ = common.write_table(leaves.join(cuts, TREE, "left"), "cuts")
+    common.remove(docs.sparkSession, last_path, leaves_path)
     return light, leaves
 
 
@@ -133,14 +134,21 @@ def mixture(docs: DataFrame, fraction: float = 1.0, max_epochs: int = MAX_EPOCHS
 
 
 def mix(docs: DataFrame, fraction: float = 1.0, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The rows of docs as often as the mixture takes them, all columns kept. The texts aren't shuffled."""
+    """The rows of docs as often as the mixture takes them, all columns kept. The texts aren't shuffled.
+
+    Nulls, empty and very long texts, repeats and ties are as in mixture: a null language or source is "unknown", a text
+    counts with all its words, rows of equal doc_id and leaf are taken together. Any columns may stand beside. An
+    empty table gives an empty result.
+    """
     _, leaves = _plan(docs, fraction, max_epochs, seed)
-    leaves = leaves.select(*[F.col(c).alias(f"__{c}") for c in (*TREE, "epochs", "cut")])
-    x = docs.withColumns({f"__of_{k}": c for k, c in _leaf(docs).items()})
-    on = [F.col(f"__of_{k}") == F.col(f"__{k}") for k in TREE]
-    x = x.join(sized(leaves, leaves.count(), 200), on)
-    x = x.withColumn("__n", _epochs({"epochs": F.col("__epochs"), "cut": F.col("__cut")}, docs["doc_id"], seed)).filter("__n > 0")
-    x = x.withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("long"), "__n")))
+    plain = [*TREE, "epochs", "cut"]
+    names = common.fresh(docs, *plain, *[f"of_{k}" for k in TREE], "n", "epoch")
+    name, of, (n, epoch) = dict(zip(plain, names)), dict(zip(TREE, names[5:])), names[8:]
+    leaves = leaves.select(*[F.col(c).alias(name[c]) for c in plain])
+    x = docs.withColumns({of[k]: c for k, c in _leaf(docs).items()})
+    x = x.join(sized(leaves, leaves.count(), 200), [F.col(of[k]) == F.col(name[k]) for k in TREE])
+    x = x.withColumn(n, _epochs({"epochs": F.col(name["epochs"]), "cut": F.col(name["cut"])}, docs["doc_id"], seed)).filter(F.col(n) > 0)
+    x = x.withColumn(epoch, F.explode(F.sequence(F.lit(1).cast("long"), n)))
     return x.select(*[x[f"`{c}`"] for c in docs.columns])
 
 
