@@ -217,18 +217,19 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     a doc_id are documents of their own.
     """
     grouped, several = _grouped(docs, **options)
+    lost, digest, again_id, rank = common.fresh(docs, "gone", "digest", "again", "r")
     if several:
         first = grouped.groupBy("c").agg(F.min(F.struct("doc_id", "key")).alias("first"))
-        gone = grouped.join(first, "c").filter(F.col("key") != F.col("first.key")).select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest"))
+        gone = grouped.join(first, "c").filter(F.col("key") != F.col("first.key")).select(F.col("doc_id").alias(lost), F.col("digest").alias(digest))
     else:
-        gone = grouped.filter("doc_id <> c").select(F.col("doc_id").alias("__gone"))
+        gone = grouped.filter("doc_id <> c").select(F.col("doc_id").alias(lost))
     gone, _ = common.write_table(gone, "gone")
-    same = F.col("doc_id").cast("long") == F.col("__gone")
-    kept = docs.join(sized(gone, gone.count()), same & (_digest("text") == F.col("__digest")) if several else same, "left_anti")
-    repeats = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again"))
+    same = docs["doc_id"].cast("long") == F.col(lost)
+    kept = docs.join(sized(gone, gone.count()), same & (F.xxhash64(docs["text"].cast("string")) == F.col(digest)) if several else same, "left_anti")
+    repeats = docs.filter(docs["doc_id"].isNotNull()).groupBy("doc_id").agg(F.count("*").alias(rank)).filter(F.col(rank) > 1).select(F.col("doc_id").alias(again_id))
     if repeats.isEmpty():
         return kept
-    again = kept.join(repeats, F.col("doc_id") == F.col("__again"), "left_semi")
-    order = [F.col("doc_id"), *(F.col(c) for c in docs.columns if c not in ("doc_id", "text") and not dict(docs.dtypes)[c].startswith(("map", "variant")))]
-    one = again.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*order))).filter("__r = 1").drop("__r")
-    return kept.join(repeats, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(one)
+    again = kept.join(repeats, F.col("doc_id") == F.col(again_id), "left_semi")
+    order = [F.col("doc_id"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text") and not dict(docs.dtypes)[c].startswith(("map", "variant")))]
+    one = again.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*order))).filter(F.col(rank) == 1).drop(rank)
+    return kept.join(repeats, F.col("doc_id") == F.col(again_id), "left_anti").unionByName(one)
