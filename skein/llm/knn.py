@@ -2,11 +2,15 @@
 
 Vectors are dealt to shards by hash. Each shard becomes a KD-tree: median splits
 along the widest side, with the tight bounding box of every node, written to the
-shared folder. Every vector is a query. A task takes the leaves of some shard as
-blocks of queries that lie close together, and goes through all shards, the
-nearest box first. Within a shard nodes are visited best first by the least
-bound of box to query; a node is skipped for the queries whose kth distance so
-far, carried from leaf to leaf and from shard to shard, is below its bound.
+shared folder. The shard's queries are cut into blocks that lie close together and
+searched in their own tree at once, which gives each a first kth distance.
+
+Then tasks go through the other shards, a slice of them and a chunk of query blocks
+each, the nearest box first. Within a shard nodes are visited best first by the
+least bound of box to query; a node is skipped for the queries whose kth distance so
+far, carried from the own tree and from shard to shard, is below its bound. What a slice finds
+beyond the first kth distance is merged by query. Neither vectors nor boxes pass through
+the driver, and queries aren't shuffled: tasks read both from the shared folder.
 
 Distances within a leaf come from one matrix product; those that may be among
 the k best are computed again exactly, so that ties are ties.
@@ -16,17 +20,24 @@ from __future__ import annotations
 
 import heapq
 import io
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.dataset as ds
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
 LEAF = 256
 SHARD_ROWS = 20_000
+#: Queries that lie close together and are searched at a time.
+BLOCK = 128
+#: Queries of a task, about, and shards that it goes through.
+CHUNK_QUERIES = 4096
+SLICE_SHARDS = 64
 _EPS = 1e-9
 _UNIT = 2.0**-53
 
@@ -78,12 +89,13 @@ class Best:
         self.norm = np.einsum("ij,ij->i", q, q)
         self.dist = np.full((len(q), k), np.inf)
         self.id = np.full((len(q), k), np.iinfo(np.int64).max)
+        self.limit = np.full(len(q), np.inf)  # what a search elsewhere has shown of the kth distance
 
     def kth(self) -> np.ndarray:
-        return self.dist[:, -1]
+        return np.minimum(self.dist[:, -1], self.limit)
 
-    def add(self, rows: np.ndarray, x: np.ndarray, norm: np.ndarray, ids: np.ndarray, own: int | None) -> None:
-        """Takes points for the queries in rows; own: the first query is the own-th point of x and the others follow."""
+    def add(self, rows: np.ndarray, x: np.ndarray, norm: np.ndarray, ids: np.ndarray, own: np.ndarray | None) -> None:
+        """Takes points for the queries in rows; own: the place of each query among the points of x, if it is one of them."""
         approx = self.norm[rows, None] + norm[None] - 2 * self.q[rows] @ x.T
         limit = self.kth()[rows]
         if len(ids) > self.k:
@@ -91,7 +103,7 @@ class Best:
         rounding = 4 * (x.shape[1] + 4) * _UNIT * (self.norm[rows] + norm.max())  # of two values of approx, at most
         i, j = np.nonzero(approx <= (limit + _EPS * (1 + np.minimum(limit, 1e300)) + rounding)[:, None])
         if own is not None:
-            other = j - own != rows[i]
+            other = j != own[rows[i]]
             i, j = i[other], j[other]
         if not len(i):
             return
@@ -108,8 +120,10 @@ class Best:
         self.dist[r], self.id[r] = dist[take], id_[take]
 
 
-def search(tree: Tree, best: Best, own: int | None = None) -> int:
-    """Best-first traversal for a block of queries; own: where the queries start among the tree's points. Gives the number of leaves visited."""
+def search(tree: Tree, best: Best, own: int | np.ndarray | None = None) -> int:
+    """Best-first traversal for a block of queries; own: their places among the tree's points, or where they start there. Gives the number of leaves visited."""
+    if isinstance(own, int):
+        own = own + np.arange(len(best.q))
     todo = [(0.0, 0, bounds(best.q, tree.lo[0], tree.hi[0]))]
     visited = 0
     while todo:
@@ -128,85 +142,145 @@ def search(tree: Tree, best: Best, own: int | None = None) -> int:
     return visited
 
 
-def _save(tree: Tree, uri: str) -> None:
+def _save(uri: str, **arrays: np.ndarray) -> None:
     fs, path = common.open_fs(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
     buf = io.BytesIO()
-    np.savez(buf, **{k: v for k, v in vars(tree).items() if k != "x"}, x=tree.x)
+    np.savez(buf, **arrays)
     tmp = f"{path}.{np.random.default_rng().integers(1 << 60)}"
     with fs.open_output_stream(tmp) as f:
-        f.write(buf.getvalue())
+        f.write(buf.getbuffer())
     fs.move(tmp, path)
 
 
-@lru_cache(4)
-def _load(uri: str) -> Tree:
+def _read(uri: str) -> dict[str, np.ndarray]:
     fs, path = common.open_fs(uri)
     with fs.open_input_stream(path) as f:
         z = np.load(io.BytesIO(f.read()))
+    return {k: z[k] for k in z.files}
+
+
+def _load(uri: str) -> Tree:
     tree = Tree.__new__(Tree)
-    vars(tree).update({k: z[k] for k in z.files})
+    vars(tree).update(_read(uri))
     return tree
 
 
-def nearest(vectors: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, leaf: int = LEAF) -> DataFrame:
-    """(vec_id, rank, neighbour_id, distance) of the k nearest other rows of every row of vectors(vec_id, embedding), by Euclidean distance.
+def _search_home(tree: Tree, places: np.ndarray, k: int) -> list[tuple[np.ndarray, Best]]:
+    """Blocks of the tree's points at places, as queries, searched in their own tree: the places of a block and its best."""
+    out, groups = [], Tree(tree.x[places], places, BLOCK)
+    for node in groups.leaves().tolist():
+        own = groups.ids[groups.start[node] : groups.stop[node]]
+        best = Best(np.ascontiguousarray(tree.x[own]), k)
+        search(tree, best, own)
+        out.append((own, best))
+    return out
 
+
+def _rows(query: np.ndarray, ids: np.ndarray, best: Best, new: np.ndarray | None = None) -> pa.RecordBatch:
+    """(query, vec_id, neighbour_id, distance) of what was found, or of what is new of it; distances are squared."""
+    ok = np.isfinite(best.dist) if new is None else new
+    n = ok.sum(axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(query, n)), pa.array(np.repeat(ids, n)), pa.array(best.id[ok]), pa.array(best.dist[ok])], ["query", "vec_id", "neighbour_id", "distance"])
+
+
+def nearest(vectors: DataFrame, k: int = 10, queries: Column | None = None, shard_rows: int = SHARD_ROWS, leaf: int = LEAF) -> DataFrame:
+    """(vec_id, rank, neighbour_id, distance) of the k nearest other rows of every query, by Euclidean distance.
+
+    Queries are the rows of vectors(vec_id, embedding) for which queries is true; all, if it isn't given. All rows are searched.
     Ties are in the order of neighbour_id. Where there are fewer than k other
-    rows, all of them come. Repeated rows are neighbours of each other. Rows
+    rows, all of them come. Repeated rows are neighbours of each other, and queries of their own. Rows
     without vec_id, and vectors that are null, empty or hold a null or NaN or
     infinity, neither query nor are found. Only vectors of equal length are compared.
-    Other columns aren't read.
+    An empty table gives an empty result; other columns aren't read.
     """
     spark = vectors.sparkSession
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
-    src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and size(v) > 0")
+    asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), asks.alias("asks")).filter("vec_id is not null and size(v) > 0")
     src = src.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).withColumn("dim", F.size("v"))
     uri = common.new_path(spark, "trees")
-    shards = max(1, -(-src.count() // shard_rows))
+    n_rows, n_asking = src.agg(F.count("*"), F.count_if("asks")).first()
+    shards = max(1, -(-n_rows // shard_rows))
 
     def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         dim, shard = (x.as_py() for x in key)
-        col = table["v"].combine_chunks()
-        x = col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        tree = Tree(x, table["vec_id"].to_numpy(), leaf)
-        fs, path = common.open_fs(uri)
-        fs.create_dir(path, recursive=True)
-        name = f"{uri}/{dim}-{shard}.npz"
-        _save(tree, name)
-        return pa.table({"dim": pa.array([dim], pa.int32()), "path": [name], "leaves": pa.array([tree.leaves().tolist()], pa.list_(pa.int64())), "lo": pa.array([tree.lo[0].tolist()], pa.list_(pa.float64())), "hi": pa.array([tree.hi[0].tolist()], pa.list_(pa.float64()))})
+        x = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        tree = Tree(x, np.arange(len(x)), leaf)
+        asking = table["asks"].to_numpy()[tree.ids]
+        tree.ids = table["vec_id"].to_numpy()[tree.ids]
+        name = f"{uri}/{dim}-{shard}"
+        _save(f"{name}.npz", **vars(tree))
+        places = np.flatnonzero(asking)
+        blocks = _search_home(tree, places, k) if len(places) else []
+        join = lambda arrays, empty: np.concatenate(arrays) if arrays else empty
+        own = join([o for o, _ in blocks], np.zeros(0, np.int64))
+        kth = join([b.kth() for _, b in blocks], np.zeros(0))
+        _save(f"{name}.queries.npz", ends=np.cumsum([len(o) for o, _ in blocks]), own=own, ids=tree.ids[own], x=tree.x[own], kth=kth)
+        first = pa.Table.from_batches([_rows(o, tree.ids[o], b) for o, b in blocks] or [_rows(own, own, Best(x[:0], k))]).to_struct_array()
+        first = first.combine_chunks() if isinstance(first, pa.ChunkedArray) else first
+        return pa.table({
+            "dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int64()), "path": [name], "asking": pa.array([len(own)], pa.int64()), "lo": pa.array([tree.lo[0].tolist()], pa.list_(pa.float64())), "hi": pa.array([tree.hi[0].tolist()], pa.list_(pa.float64())),
+            "found": pa.ListArray.from_arrays(pa.array([0, len(first)], pa.int32()), first),
+        })
 
     keyed = src.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    made, _ = common.write_table(keyed.groupBy("dim", "shard").applyInArrow(build, "dim int, path string, leaves array<long>, lo array<double>, hi array<double>"), "shards")
-    boxes = [(r["dim"], r["path"], np.array(r["lo"]), np.array(r["hi"])) for r in made.select("dim", "path", "lo", "hi").orderBy("path").collect()]
+    found_type = "array<struct<query:long,vec_id:long,neighbour_id:long,distance:double>>"
+    made, made_path = common.write_table(keyed.groupBy("dim", "shard").applyInArrow(build, f"dim int, shard long, path string, asking long, lo array<double>, hi array<double>, found {found_type}"), "shards")
+
+    # a chunk is some shards' queries, a slice some shards to search
+    cores = spark.sparkContext.defaultParallelism
+    slices = -(-shards // SLICE_SHARDS)
+    together = max(1, min(CHUNK_QUERIES * shards // max(1, n_asking), shards * slices // (2 * cores), 1024))
+    chunks = made.filter("asking > 0").groupBy("dim", F.expr(f"shard div {together}").alias("chunk")).agg(F.collect_list("path").alias("paths"))  # together of them
+    tasks = chunks.select("dim", "paths", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    tasks = tasks.repartition(max(1, min(10_000, -(-shards // together) * slices)), "paths", "slice")
 
     def run(batches):
         for b in batches:
-            for dim, path, node in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                home = _load(path)
-                a, e = int(home.start[node]), int(home.stop[node])
-                best = Best(home.x[a:e], k)
-                search(home, best, a)
-                rest = [(float(bounds(best.q, lo, hi).min()), p) for d, p, lo, hi in boxes if d == dim and p != path]
-                for bound, p in sorted(rest):
-                    if bound * (1 - 1e-12) <= best.kth().max():
-                        search(_load(p), best)
-                ok = np.isfinite(best.dist)
-                n = ok.sum(axis=1)
-                rank = np.broadcast_to(np.arange(1, k + 1), ok.shape)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(home.ids[a:e], n)), pa.array(rank[ok].astype(np.int32)), pa.array(best.id[ok]), pa.array(np.sqrt(best.dist[ok]))],
-                    ["vec_id", "rank", "neighbour_id", "distance"],
-                )
-
-    tasks = made.select("dim", "path", F.explode("leaves").alias("leaf"))
-    parts = max(spark.sparkContext.defaultParallelism * 2, shards)
-    tasks = tasks.repartitionByRange(parts, "path", "leaf")
-    return tasks.mapInArrow(run, "vec_id long, rank int, neighbour_id long, distance double").withColumn("distance", F.round("distance", 6))
+            for dim, paths, part in zip(*(c.to_pylist() for c in b.columns)):
+                yield from _search_slice(made_path, dim, paths, part, slices, k)
+
+    schema = "home string, query long, vec_id long, neighbour_id long, distance double"
+    more = tasks.mapInArrow(run, schema)
+    first = made.select(F.col("path").alias("home"), F.explode("found").alias("f")).select("home", "f.*")
+    rank = F.row_number().over(Window.partitionBy("home", "query").orderBy("distance", "neighbour_id"))
+    best = first.unionByName(more).withColumn("rank", rank).filter(F.col("rank") <= k)
+    out, _ = common.write_table(best.select("vec_id", "rank", "neighbour_id", F.round(F.sqrt("distance"), 6).alias("distance")), "nearest")
+    common.remove(spark, uri, made_path)
+    return out
+
+
+def _search_slice(made: str, dim: int, paths: list[str], part: int, slices: int, k: int) -> Iterator[pa.RecordBatch]:
+    """What the queries of some shards find in the shards of a slice, beyond what they found at home."""
+    blocks = []
+    for path in paths:
+        z = _read(f"{path}.queries.npz")
+        for a, e in zip(np.concatenate(([0], z["ends"][:-1])).tolist(), z["ends"].tolist()):
+            best = Best(z["x"][a:e], k)
+            best.limit = z["kth"][a:e]
+            blocks.append((path, z["own"][a:e], z["ids"][a:e], best))
+    fs, table = common.open_fs(made)
+    near, dataset = [], ds.dataset(table, filesystem=fs, format="parquet")
+    for batch in dataset.to_batches(columns=["shard", "path", "lo", "hi"], filter=ds.field("dim") == dim):
+        for shard, path, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
+            if shard % slices == part:
+                lo, hi = np.array(lo), np.array(hi)
+                bound = [np.inf if home == path else float(bounds(best.q, lo, hi).min()) for home, _, _, best in blocks]
+                near.append((min(bound), path, bound))
+    for least, path, bound in sorted(near):
+        mine = [best for low, (_, _, _, best) in zip(bound, blocks) if np.isfinite(low) and low * (1 - 1e-12) <= best.kth().max()]
+        tree = _load(f"{path}.npz") if mine else None
+        for best in mine:
+            search(tree, best)
+    for home, own, ids, best in blocks:
+        found = _rows(own, ids, best, np.isfinite(best.dist))
+        yield found.add_column(0, "home", pa.array([home] * len(found), pa.string()))
 
 
 ORACLE = """
 WITH v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-d AS (SELECT a.vec_id, a.r AS ar, b.vec_id AS neighbour_id, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e)),
+d AS (SELECT a.vec_id, a.r AS ar, b.vec_id AS neighbour_id, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
 n AS (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY round(distance, 12), neighbour_id) AS rank FROM d)
 SELECT vec_id, rank::INT AS rank, neighbour_id, round(distance, 6) AS distance FROM n WHERE rank <= 10
 """
