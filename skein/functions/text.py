@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .urls import ColumnLike, _c
+from .urls import ColumnLike, _c, let
 
 #: Patterns in a syntax that Spark and DuckDB read alike.
 PATTERNS = {
@@ -13,10 +13,10 @@ PATTERNS = {
     "url": r"https?://[^\s)\]>\"']+",
     "phone": r"\+?1?[-. ]?\(?[0-9]{3}\)?[-. ]?[0-9]{3}[-. ]?[0-9]{4}",
     "price": r"\$[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]{2})?",
-    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
+    "date": r"(?i)\b[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}\b|\b[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}\b|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[ \t\n]+[0-9]{1,2},?[ \t\n]+[0-9]{4}\b",
     "iso_date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
     "us_date": r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
-    "heading": r"(?m)^#{1,6}\s+.+$",
+    "heading": r"(?m)^#{1,6}[ \t]+(.+)$",
     "md_link": r"\[[^\]]*\]\([^)]*\)",
     "handle": r"@[A-Za-z0-9_]{2,}",
     "social": r"(?:twitter|x|github|linkedin|facebook|instagram)\.com/[A-Za-z0-9_./-]+",
@@ -27,11 +27,13 @@ PATTERNS = {
     "isbn": r"\b97[89][- ]?[0-9][- ]?[0-9]{2,5}[- ]?[0-9]{2,6}[- ]?[0-9]\b",
     "card": r"\b[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}\b",
 }
-#: Usual patterns of URLs that a crawl leaves out.
+#: Patterns of which a group is the match.
+GROUPS = {"heading": 1}
+#: Usual patterns of URLs that a crawl leaves out: files, images, sign-in and administration, tracking, sharing, print and feeds, dated archives, languages, systems' own paths, sessions, orders.
 URL_FILTERS = (
-    r"\.(jpg|jpeg|png|gif|webp|svg|ico)(\?|$)", r"\.(css|js|map|woff2?|ttf|eot)(\?|$)", r"\.(mp4|mp3|avi|mov|webm)(\?|$)", r"\.(zip|tar|gz|rar|7z)(\?|$)", r"\.(pdf|docx?|xlsx?|pptx?)(\?|$)",
-    r"/(login|logout|signin|signup|register)(/|\?|$)", r"/(cart|checkout|basket)(/|\?|$)", r"/(wp-admin|wp-login|admin)(/|\?|$)", r"[?&]utm_[a-z]+=", r"[?&](sort|order|filter)=",
-    r"/(tag|tags|category|author)/", r"/page/[0-9]+", r"[?&]page=[0-9]+", r"/(print|share|email)(/|\?|$)", r"#",
+    r"\.(?:pdf|zip|tar|gz|rar|exe|dmg|iso|mp3|mp4|avi|mov)$", r"\.(?:jpg|jpeg|png|gif|svg|webp|ico|bmp|tiff)$", r"/(?:login|logout|signin|signup|register|admin|wp-admin)", r"\?.*utm_", r"/(?:analytics|tracking|pixel)",
+    r"/(?:share|tweet|pin)\?", r"/(?:print|feed|rss|atom)(?:/|$)", r"/[0-9]{4}/[0-9]{2}/[0-9]{2}/$", r"/(?:fr|de|es|ja|zh)/", r"/wp-(?:content|includes|json)", r"/xmlrpc\.php",
+    r"\?(?:.*&)?session_?id=", r"\?(?:.*&)?jsessionid=", r"\?(?:.*&)?sort=", r"\?(?:.*&)?order=",
 )
 STOP_WORDS = ("the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out", "with", "that", "this", "from", "have", "they", "which", "will", "there")
 
@@ -47,12 +49,12 @@ def word_count(text: ColumnLike) -> Column:
 
 def found(text: ColumnLike, pattern: str) -> Column:
     """All matches of a pattern (a name of PATTERNS, or one of your own), as an array."""
-    return F.regexp_extract_all(_c(text), F.lit(PATTERNS.get(pattern, pattern)), 0)
+    return F.regexp_extract_all(_c(text), F.lit(PATTERNS.get(pattern, pattern)), GROUPS.get(pattern, 0))
 
 
 def entities(text: ColumnLike, rules: dict[str, str]) -> Column:
     """map of rule -> matches; rules without a match are left out."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), found(text, p).alias("value")) for k, p in rules.items()])
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), found(text, k if PATTERNS.get(k) == p else p).alias("value")) for k, p in rules.items()])
     return F.map_from_entries(F.filter(pairs, lambda x: F.size(x["value"]) > 0))
 
 
@@ -63,9 +65,18 @@ def formatted_phone(match: ColumnLike) -> Column:
 
 def keyword_density(text: ColumnLike, keyword: str) -> Column:
     """Occurrences of the keyword (lower case, not overlapping) per word of the text; 0 without words."""
-    low = F.lower(_c(text))
-    hits = (F.length(low) - F.length(F.replace(low, F.lit(keyword), F.lit("")))) / F.lit(float(len(keyword)))
-    return F.when(word_count(text) > 0, hits / word_count(text)).otherwise(0.0)
+    return keyword_densities(text, (keyword,))
+
+
+def keyword_densities(text: ColumnLike, keywords: tuple[str, ...]) -> Column:
+    """The sum of keyword_density over keywords; the text is lowered and its words are counted once."""
+
+    def total(x: Column) -> Column:
+        low, words = x["low"], x["words"]
+        one = lambda k: (F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / F.lit(float(len(k))) / words
+        return F.when(words > 0, sum((one(k) for k in keywords[1:]), one(keywords[0]))).otherwise(0.0)
+
+    return let(F.struct(F.lower(_c(text)).alias("low"), word_count(text).alias("words")), total)
 
 
 def relevance(text: ColumnLike, keywords: list[str]) -> Column:

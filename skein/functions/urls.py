@@ -82,10 +82,10 @@ def path(url: ColumnLike) -> Column:
 
 
 def percent_decode(x: Column, plus: bool = False) -> Column:
-    """x with its percent escapes decoded; as it is if one is malformed. plus: a "+" is a space."""
-    y = x if plus else F.replace(x, F.lit("+"), F.lit("%2B"))
-    spaced = F.replace(x, F.lit("+"), F.lit(" ")) if plus else x
-    return F.when(x.contains("%"), F.coalesce(F.try_url_decode(y), spaced)).otherwise(spaced)
+    """x with its percent escapes decoded; a malformed one stays as it is. plus: a "+" is a space."""
+    whole = F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25")
+    y = whole if plus else F.replace(whole, F.lit("+"), F.lit("%2B"))
+    return F.when(x.contains("%"), F.url_decode(y)).otherwise(F.replace(x, F.lit("+"), F.lit(" ")) if plus else x)
 
 
 def query_pairs(url: ColumnLike) -> Column:
@@ -234,8 +234,8 @@ def should_skip(link: ColumnLike) -> Column:
     return (t == "") | (t == "#") | t.rlike(r"(?i)^(javascript|mailto|tel|data):")
 
 
-#: SQL name -> (function, number of arguments), for register().
+#: SQL name -> (function, number of arguments), for sql.register().
 SQL_FUNCTIONS: dict[str, tuple[Callable[..., Column], int]] = {
     "url_normalize": (normalize, 1), "url_host": (host, 1), "url_slug": (slug, 1), "url_filename": (filename, 1), "url_extension": (extension, 1),
-    "url_root_domain": (root_domain, 1), "url_sanitize": (sanitize, 1), "url_resolve": (resolve, 2),
+    "url_root_domain": (root_domain, 1), "url_sanitize": (sanitize, 1), "url_resolve": (resolve, 2), "url_path": (path, 1), "url_is_same_domain": (is_same_domain, 2), "url_is_subdomain": (is_subdomain, 2),
 }
