@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import content_type, urls
 from . import frontier, html, links, markdown, parse, robots
 from .frontier import CrawlOptions
+from .tables import fresh
 
 
 def _cleaning(o: CrawlOptions) -> html.Cleaning:
@@ -40,7 +41,8 @@ def results(pages: DataFrame, options: CrawlOptions = CrawlOptions()) -> DataFra
 def crawl(pages: DataFrame, seeds: list[str] | DataFrame, options: CrawlOptions = CrawlOptions(), robots_files: DataFrame | None = None) -> DataFrame:
     """The results of a crawl from seeds over pages(url, html, ...), with depth and priority; in no order, see frontier.order.
 
-    What isn't in pages is a failed fetch and gives no row. robots_files(host, content) restrict what is fetched.
+    What isn't in pages is a failed fetch and gives no row. Of pages of one normal form the one of the least address counts.
+    robots_files(host, content) restrict what is fetched: of a page that they forbid no link is followed.
     seeds are addresses or a table of them, seeds(url), which may be as large as pages; the budget never cuts seeds.
     """
     if not isinstance(seeds, DataFrame):
@@ -49,14 +51,19 @@ def crawl(pages: DataFrame, seeds: list[str] | DataFrame, options: CrawlOptions
         seeds = pages.sparkSession.createDataFrame([(s,) for s in seeds], "url string")
     elif bad := seeds.filter(~F.coalesce(F.contains("url", F.lit("://")), F.lit(False))).take(1) or seeds.isEmpty():
         raise ValueError(f"bad seeds {bad!r}")
-    got = fetched(pages)
-    edges = links.extract(got.select(F.monotonically_increasing_id().alias("page_id"), F.col("final_url").alias("url"), "html"))
+    may = pages
+    if robots_files is not None and options.respect_robots:
+        may = robots.allowed(pages.drop("allowed"), robots.rules(robots_files), options.agent).filter("allowed").drop("allowed")
+    norm, depth, priority = fresh(pages, "norm", "depth", "priority")
+    # of the pages of one normal form the one of the least address is fetched
+    may = may.withColumn(norm, urls.normalize("url", options.remove_www))
+    least = may.groupBy(norm).agg(F.min("url").alias("url"))
+    may = may.join(least.select("url").distinct(), "url", "left_semi").dropDuplicates(["url"])
+    got = fetched(may)
+    edges = links.extract(got.select(F.lit(0).alias("page_id"), F.col("final_url").alias("url"), "html"))
     edges = edges.filter("link_type = 'page'").select(F.col("base").alias("src"), F.col("url").alias("dst"), F.when(F.col("category") == "internal", "internal").otherwise("external").alias("source"))
     tasks = frontier.traverse(edges, seeds.select("url"), options)
     tasks = tasks.filter(frontier.matches(F.col("url"), options.include, options.exclude))
-    if robots_files is not None and options.respect_robots:
-        tasks = robots.allowed(tasks, robots.rules(robots_files), options.agent).filter("allowed").drop("allowed")
-    tasks = tasks.select(F.col("url").alias("__norm"), "depth", "priority")
-    wanted = pages.withColumn("__norm", urls.normalize("url", options.remove_www)).join(tasks, "__norm", "left_semi").dropDuplicates(["__norm"])
-    out = results(wanted, options).withColumn("__norm", urls.normalize("url", options.remove_www))
-    return out.join(tasks, "__norm").drop("__norm")
+    tasks = tasks.select(F.col("url").alias(norm), F.col("depth").alias(depth), F.col("priority").alias(priority))
+    out = results(may.join(tasks.select(norm), norm, "left_semi"), options).withColumn(norm, urls.normalize("url", options.remove_www))
+    return out.join(tasks, norm).withColumnsRenamed({depth: "depth", priority: "priority"}).drop(norm)

@@ -12,11 +12,14 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from .tables import written
+from .tables import new_path, remove, written_at
 
 #: mode -> (depth, pages, fetches at a time)
 PRESETS = {"lite": (2, 100, 5), "full": (5, 1000, 10), "deep": (50, 50_000, 25)}
@@ -24,6 +27,18 @@ VIEWPORTS = {"desktop": (1920, 1080, 1), "tablet": (768, 1024, 2), "mobile": (39
 DELAY_CAP_MS = 30_000
 
 
+def check_pattern(pattern: str) -> None:
+    """ValueError if pattern isn't one of Spark's regular expressions; without a session, if it is none of Python's."""
+    sc = SparkContext._active_spark_context
+    try:
+        if sc is None:
+            re.compile(pattern)
+        else:
+            sc._jvm.java.util.regex.Pattern.compile(pattern)
+    except (re.error, Py4JJavaError) as e:
+        raise ValueError(f"bad pattern {pattern!r}: {getattr(e, 'java_exception', e)}") from e
+
+
 @dataclass(frozen=True)
 class CrawlOptions:
     """Depth and pages are those of the mode unless given."""
@@ -46,10 +61,7 @@ class CrawlOptions:
         if self.mode not in PRESETS:
             raise ValueError(f"no mode {self.mode!r}")
         for p in (*self.include, *self.exclude):
-            try:
-                re.compile(p)
-            except re.error as e:
-                raise ValueError(f"bad pattern {p!r}: {e}") from e
+            check_pattern(p)
 
     @property
     def depth(self) -> int:
@@ -85,33 +97,46 @@ def traverse(edges: DataFrame, seeds: DataFrame, options: CrawlOptions = CrawlOp
     Mode lite follows nothing, full stays on the seeds' hosts, deep goes
     everywhere. The budget counts discovered pages. The patterns filter pages to follow, seeds
     included: a page that they leave out is discovered, but its links aren't followed.
+
+    The visited set is one table, to which each level adds its files; a level's job reads it once, and a task that is
+    repeated adds nothing, as files of a level get their names when all are whole.
     """
+    spark = edges.sparkSession
     hosts = seeds.select(urls.host("url").alias("seed_host")).distinct()
     norm = lambda c: urls.normalize(c, options.remove_www)
-    graph = written(edges.select(norm("src").alias("src"), norm("dst").alias("dst"), "source").distinct(), "edges")
-    level = written(seeds.select(norm("url").alias("url")).distinct().select("url", F.lit(0).alias("depth"), F.lit("seed").alias("source"), F.lit(3).alias("priority")), "level")
-    levels, found = [level], level.count()
+    graph, graph_path = written_at(edges.select(norm("src").alias("src"), norm("dst").alias("dst"), "source").distinct(), "edges")
+    first = seeds.select(norm("url").alias("url")).distinct().select("url", F.lit(0).alias("depth"), F.lit("seed").alias("source"), F.lit(3).alias("priority"))
+    schema, visited = first.schema, new_path(spark, "visited")
+
+    def add(level: DataFrame, depth: int) -> tuple[DataFrame, int]:
+        level.drop("depth").write.parquet(f"{visited}/depth={depth}")
+        level = spark.read.schema(schema).option("basePath", visited).parquet(f"{visited}/depth={depth}")
+        return level, level.count()
+
+    level, found = add(first, 0)
     for depth in range(1, options.depth + 1):
         if options.mode == "lite" or found >= options.pages:
             break
         follow = level.filter(matches(F.col("url"), options.include, options.exclude)).select(F.col("url").alias("src"))
         x = follow.join(graph, "src").groupBy(F.col("dst").alias("url")).agg(F.min(F.struct((F.col("source") != "internal").alias("o"), "source")).alias("s")).select("url", F.col("s.source").alias("source"))
-        seen = reduce(DataFrame.unionByName, [d.select("url") for d in levels])
+        seen = spark.read.schema(schema).parquet(visited).select("url")
         x = x.join(seen, "url", "left_anti").withColumn("h", urls.host("url"))
         x = x.join(hosts, x["h"] == hosts["seed_host"], "left").withColumn("same", F.col("seed_host").isNotNull())
         if options.mode == "full":
             x = x.filter("same")
         x = x.select("url", F.lit(depth).alias("depth"), "source", priority(F.col("source"), F.lit(depth), F.col("same")).alias("priority"))
-        level = written(x, "level")
-        n = level.count()
+        new, new_path_ = written_at(x, "level")
+        n = new.count()
         if found + n > options.pages:
-            level = written(level.orderBy(F.desc("priority"), "url").limit(options.pages - found), "level")
-            n = options.pages - found
+            new, n = new.orderBy(F.desc("priority"), "url").limit(options.pages - found), options.pages - found
+        if n:
+            level, n = add(new, depth)
+        remove(spark, new_path_)
         if not n:
             break
-        levels.append(level)
         found += n
-    return reduce(DataFrame.unionByName, levels)
+    remove(spark, graph_path)
+    return spark.read.schema(schema).parquet(visited).select("url", "depth", "source", "priority")
 
 
 def order(tasks: DataFrame) -> DataFrame:
@@ -187,16 +212,60 @@ def next_delay(delay: Column, status: Column, initial_ms: int) -> Column:
 
 
 def adaptive_delay(responses: DataFrame, initial_ms: int = 1000) -> DataFrame:
-    """(host, n, delay_ms) after all responses(host, at, status) of a host in the order of at and status."""
-    x = responses.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "status"))), lambda r: r["status"]).alias("s"))
-    fold = F.aggregate("s", F.lit(initial_ms).cast("long"), lambda d, s: next_delay(d, s, initial_ms))
-    return x.select("host", F.size("s").cast("long").alias("n"), fold.alias("delay_ms"))
+    """(host, n, delay_ms) after all responses(host, at, status) of a host in the order of at and status.
+
+    Responses are sorted by host and time, and a task folds them as they come: it holds one host's delay, however many responses
+    a host has.
+    """
+    kind = responses.schema["host"].dataType.simpleString()
+
+    def run(batches):
+        host, n, delay, started = None, 0, initial_ms, False
+        for b in batches:
+            hosts, ns, delays = [], [], []
+            for h, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not started or h != host:
+                    if started:
+                        hosts.append(host), ns.append(n), delays.append(delay)
+                    host, n, delay, started = h, 0, initial_ms, True
+                n, delay = n + 1, delay if s is None else delay_after(delay, s, initial_ms)
+            if hosts:
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, b.schema.field(0).type), pa.array(ns, pa.int64()), pa.array(delays, pa.int64())], ["host", "n", "delay_ms"])
+            last = b.schema.field(0).type
+        if started:
+            yield pa.RecordBatch.from_arrays([pa.array([host], last), pa.array([n], pa.int64()), pa.array([delay], pa.int64())], ["host", "n", "delay_ms"])
+
+    x = responses.select("host", "at", F.col("status").cast("int").alias("status")).repartition("host").sortWithinPartitions("host", "at", "status")
+    return x.select("host", "status").mapInArrow(run, f"host {kind}, n long, delay_ms long")
+
+
+def delay_after(delay: int, status: int, initial_ms: int) -> int:
+    """As next_delay, for one response."""
+    if status in (429, 503):
+        return min(max(delay * 2, initial_ms), DELAY_CAP_MS)
+    if status in (500, 502, 504):
+        return min(max(delay + delay // 2, initial_ms), DELAY_CAP_MS)
+    return max(delay - delay // 10, initial_ms) if 200 <= status < 300 else delay
+
+
+def delay_ms(strategy: str, fixed_ms: int = 0, min_ms: int = 0, max_ms: int = 0, seed: int = 0, key: Column | None = None, adaptive: Column | None = None) -> Column:
+    """The wait before a fetch: none, fixed, random (even between min_ms and max_ms, from a hash of seed and key, so that it is the same each time) or adaptive, the column given."""
+    if strategy == "none":
+        return F.lit(0).cast("long")
+    if strategy == "fixed":
+        return F.lit(fixed_ms).cast("long")
+    if strategy == "adaptive":
+        return adaptive
+    if strategy != "random":
+        raise ValueError(f"no strategy {strategy!r}")
+    return (F.lit(min_ms) + F.pmod(F.xxhash64(F.lit(seed), key), F.lit(max(max_ms - min_ms, 0) + 1))).cast("long")
 
 
 #: Kind of error -> pattern in its message, in the order of the tests; and whether another attempt may help.
 ERRORS = [
     ("timeout", r"(?i)timed? ?out", True), ("dns", r"(?i)dns|resolve", True), ("tls", r"(?i)certificate|tls|ssl", False), ("redirect", r"(?i)redirect", False),
-    ("connect", r"(?i)connect|refused|reset", True), ("decode", r"(?i)decod|charset|utf", False), ("body", r"(?i)body", True),
+    ("connect", r"(?i)connect|refused|reset", True), ("decode", r"(?i)decod|charset|utf", False), ("body", r"(?i)body", True), ("proxy", r"(?i)proxy", True), ("browser", r"(?i)browser|launch", False), ("render", r"(?i)render|script", False),
+    ("parse", r"(?i)pars", False), ("io", r"(?i)disk|permission|no such file", False), ("config", r"(?i)config|option", False), ("max_pages", r"(?i)max(imum)? pages|page limit", False), ("url", r"(?i)invalid (url|address|port)|relative url", False),
 ]
 RETRIED = (429, 500, 502, 503, 504)
 

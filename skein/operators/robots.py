@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.urls import ColumnLike, _c
+from .tables import fresh
 
 SQL = "struct<groups:array<struct<agent:string,kind:string,pattern:string>>,sitemaps:array<string>,crawl_delay:double>"
 ARROW = pa.struct([("groups", pa.list_(pa.struct([("agent", pa.string()), ("kind", pa.string()), ("pattern", pa.string())]))), ("sitemaps", pa.list_(pa.string())), ("crawl_delay", pa.float64())])
@@ -97,6 +98,7 @@ def allowed_path(path: Column, found: Column) -> Column:
 
 def allowed(pages: DataFrame, found: DataFrame, agent: str, url: str = "url") -> DataFrame:
     """pages with a column allowed. found(host, agent, kind, pattern) as rules() gives it; hosts without rules allow all."""
-    by_host = rules_by_host(found, agent).select(F.col("host").alias("__host"), F.col("rules").alias("__rules"))
-    x = pages.withColumn("__h", urls.host(url)).join(by_host, F.col("__h") == F.col("__host"), "left")
-    return x.withColumn("allowed", allowed_path(urls.path(url), F.col("__rules"))).drop("__h", "__host", "__rules")
+    own, host, rules_ = fresh(pages, "own", "host", "rules")
+    by_host = rules_by_host(found, agent).select(F.col("host").alias(host), F.col("rules").alias(rules_))
+    x = pages.withColumn(own, urls.host(url)).join(by_host, F.col(own) == F.col(host), "left")
+    return x.withColumn("allowed", allowed_path(urls.path(url), F.col(rules_))).drop(own, host, rules_)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import urls
-from ..operators.frontier import DELAY_CAP_MS
+from ..operators.frontier import delay_after
 
 
 def dedup(pages: DataFrame, at: str = "fetched_at", within: str = "1 hour") -> DataFrame:
@@ -32,15 +32,6 @@ def sessions(events: DataFrame, at: str = "ts", key: str = "user_id", gap: str =
     return events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), key, "n")
 
 
-def next_delay(delay: int, status: int, initial_ms: int) -> int:
-    """As operators.frontier.next_delay, for one response."""
-    if status in (429, 503):
-        return min(max(delay * 2, initial_ms), DELAY_CAP_MS)
-    if status in (500, 502, 504):
-        return min(max(delay + delay // 2, initial_ms), DELAY_CAP_MS)
-    return max(delay - delay // 10, initial_ms) if 200 <= status < 300 else delay
-
-
 def adaptive_delay(responses: DataFrame, initial_ms: int = 1000) -> DataFrame:
     """(host, n, delay_ms) of a stream responses(host, at, status): the host's delay after each batch."""
 
@@ -48,7 +39,7 @@ def adaptive_delay(responses: DataFrame, initial_ms: int = 1000) -> DataFrame:
         n, delay = state.get if state.exists else (0, initial_ms)
         rows = pd.concat(list(batches)).sort_values(["at", "status"], kind="stable")
         for s in rows["status"]:
-            n, delay = n + 1, next_delay(delay, int(s), initial_ms)
+            n, delay = n + 1, delay_after(delay, int(s), initial_ms)
         state.update((n, delay))
         yield pd.DataFrame({"host": [key[0]], "n": [n], "delay_ms": [delay]})
 
