@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import text as T
+from .derived import ORACLES as _DERIVED_ORACLES
 from .queries import EXCLUDE, INCLUDE, KEYWORDS
 
 
@@ -55,7 +56,7 @@ _FRONT = rf"""'---' || chr(10) || 'url: ' || url || chr(10) || coalesce('title:
 def _entities(rules: tuple[str, ...], text: str = "text", id_: str = "doc_id", frm: str = "documents") -> str:
     def one(r: str) -> str:
         p = T.PATTERNS[r].replace("'", "''")
-        return f"SELECT {id_}, '{r}' AS rule, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS match FROM (SELECT {id_}, regexp_extract_all({text}, '{p}', 0) AS m FROM {frm})"
+        return f"SELECT {id_}, '{r}' AS rule, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS match FROM (SELECT {id_}, regexp_extract_all({text}, '{p}', {T.GROUPS.get(r, 0)}) AS m FROM {frm})"
 
     return " UNION ALL ".join(one(r) for r in rules)
 
@@ -63,10 +64,12 @@ def _entities(rules: tuple[str, ...], text: str = "text", id_: str = "doc_id", f
 _RULES = ("email", "phone", "ipv4", "card", "semver", "handle")
 _WORDS = r"len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+'))"
 _DENSITY = lambda k: f"CASE WHEN {_WORDS} > 0 THEN (length(lower(text)) - length(replace(lower(text), '{k}', ''))) / {len(k)}.0 / {_WORDS} ELSE 0 END"
-_DERIVED = r"""(SELECT o_orderkey, 'Paid $' || floor(o_totalprice)::BIGINT || '.00 on ' || strftime(o_orderdate, '%Y-%m-%d') || ' in #a1b2c3, see [x](https://e.example.com/' || o_orderkey || ') 978-1-23456-789-0' AS text FROM orders)"""
+_DERIVED = r"""(SELECT o_orderkey, '# Order ' || o_orderkey || chr(10) || 'Paid $' || floor(o_totalprice)::BIGINT || '.00 on ' || strftime(o_orderdate, '%Y-%m-%d') || ' in #a1b2c3, see [x](https://e.example.com/' || o_orderkey || ') 978-1-23456-789-0' || chr(10) || '## Next' || chr(10) || 'April '
+  || strftime(o_orderdate, '%-d') || ', ' || strftime(o_orderdate, '%Y') || ' and ' || strftime(o_orderdate, '%m/%d/%Y') || ' or ' || strftime(o_orderdate, '%Y/%m/%d') || ' by GET /api/v1/orders/' || o_orderkey || ' of github.com/a' || o_orderkey || '/b' || chr(10) || 'mail u' || o_orderkey
+  || '@e.example.com, @h' || o_orderkey || ', (555) 123-4567, 10.0.0.' || strftime(o_orderdate, '%-d') || ', v1.2.' || strftime(o_orderdate, '%-d') || ', 4111 1111 1111 1111' AS text FROM orders)"""
 _EDGES = """edges AS (
-  SELECT 'https://h' || (l_partkey % 3) || '.example.com/p/' || l_partkey AS src, 'https://h' || (l_suppkey % 5) || '.example.com/s/' || l_suppkey AS dst, 'external' AS source FROM lineitem WHERE l_linenumber <= 2
-  UNION SELECT 'https://h' || (l_suppkey % 5) || '.example.com/s/' || l_suppkey, 'https://h' || (l_partkey % 3) || '.example.com/p/' || l_partkey, 'internal' FROM lineitem WHERE l_linenumber = 1)"""
+  SELECT 'https://h' || (l_partkey % 3) || '.example.com/p/' || l_partkey AS src, 'https://h' || (l_suppkey % 5) || '.example.com/s/' || l_suppkey AS dst, 'external' AS source FROM lineitem
+  UNION SELECT 'https://h' || (l_suppkey % 5) || '.example.com/s/' || l_suppkey, 'https://h' || (l_partkey % 3) || '.example.com/p/' || l_partkey, 'internal' FROM lineitem)"""
 _DEEP = lambda depth: f"""WITH RECURSIVE {_EDGES},
 t(url, depth) AS (SELECT 'https://h1.example.com/p/1', 0::BIGINT UNION SELECT dst, depth + 1 FROM t JOIN edges ON src = url WHERE depth < {depth}),
 d AS (SELECT url, min(depth) AS depth FROM t GROUP BY url)"""
@@ -121,7 +124,7 @@ SELECT doc_id, md5(regexp_replace(regexp_replace(s, '^\n{2,}', chr(10)), '([^\n]
     "code_languages": "SELECT page_id, ['python', 'rust', 'c++', NULL, 'js'][page_id % 5 + 1] AS language FROM pages",
     "durations": "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN v WHEN 1 THEN v * 1000 WHEN 2 THEN v * 60000 + 5000 WHEN 3 THEN v * 3600000 WHEN 4 THEN v END AS ms FROM (SELECT p_partkey, (p_size % 60)::BIGINT AS v FROM part)",
     "entities": _entities(_RULES),
-    "entities_derived": f"SELECT o_orderkey, rule, match FROM ({_entities(('price', 'iso_date', 'hex_color', 'md_link', 'url', 'us_date'), 'text', 'o_orderkey', _DERIVED)})",
+    "entities_derived": f"SELECT o_orderkey, rule, match FROM ({_entities(tuple(T.PATTERNS), 'text', 'o_orderkey', _DERIVED)})",
     "phones_formatted": rf"SELECT doc_id, regexp_replace(match, '^\+?1?[-. ]?\(?([0-9]{{3}})\)?[-. ]?([0-9]{{3}})[-. ]?([0-9]{{4}})$', '(\1) \2-\3') AS phone FROM ({_entities(('phone',))})",
     "keyword_stats": "SELECT lang, " + ", ".join(f"round({f}({_DENSITY(k)}), 9) AS {f}_{k}" for k in KEYWORDS for f in ("avg", "max")) + " FROM documents GROUP BY lang",
     "relevance_scores": "SELECT doc_id, (" + " + ".join(rf"len(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '(?i)\b{k}\b'))" for k in KEYWORDS) + ")::BIGINT AS score FROM documents",
@@ -141,9 +144,13 @@ d AS (SELECT url, min(depth) AS depth FROM t GROUP BY url),
 s AS (SELECT d.url, d.depth, bool_or(e.source = 'internal') AS internal FROM d LEFT JOIN (edges e JOIN d f ON e.src = f.url AND NOT regexp_matches(f.url, '/p/[0-9]*7$')) ON e.dst = d.url AND f.depth = d.depth - 1 GROUP BY d.url, d.depth)
 SELECT url, depth, CASE WHEN depth = 0 THEN 3 WHEN internal AND depth <= 1 THEN 2 ELSE 1 END::BIGINT AS priority FROM s""",
     "frontier_budget": f"{_DEEP(3)}, n AS (SELECT depth, count(*) AS n, coalesce(sum(count(*)) OVER (ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d GROUP BY depth) SELECT depth, least(n, 40 - before)::BIGINT AS n FROM n WHERE before < 40",
-    "frontier_stats": f"""{_DEEP(4)}, p AS (SELECT DISTINCT src AS url, NOT ends_with(src, '3') AS good FROM edges)
-SELECT count(*) AS discovered, count(*) FILTER (good) AS crawled, count(*) FILTER (NOT coalesce(good, false)) AS errors, 0::BIGINT AS skipped FROM d LEFT JOIN p USING (url)""",
-    "crawl_pages": f"SELECT arg_min(url, page_id) AS url, 0::BIGINT AS depth, 3::BIGINT AS priority FROM pages WHERE {_norm()} IN (SELECT {_norm()} FROM (SELECT * FROM pages ORDER BY page_id LIMIT 3)) GROUP BY {_norm()}",
+    "frontier_stats": f"""{_DEEP(2)}, p AS (SELECT DISTINCT src AS url, NOT ends_with(src, '3') AS good FROM edges)
+SELECT count(*) AS discovered, count(*) FILTER (good) AS crawled, count(*) FILTER (NOT coalesce(good, false)) AS errors, (SELECT count(*) FROM d JOIN edges ON src = url WHERE depth = 2) AS skipped FROM d LEFT JOIN p USING (url)""",
+    "frontier_scope": rf"""WITH RECURSIVE {_EDGES},
+t(url, depth) AS (SELECT 'https://h1.example.com/p/1', 0::BIGINT UNION SELECT dst, depth + 1 FROM t JOIN edges ON src = url WHERE depth < 5 AND starts_with(dst, 'https://h1.') AND NOT regexp_matches(url, '/p/[0-9]*7$')),
+d AS (SELECT url, min(depth) AS depth FROM t GROUP BY url)
+SELECT count(*) AS skipped FROM d JOIN edges ON src = url WHERE NOT regexp_matches(url, '/p/[0-9]*7$') AND (depth = 5 OR NOT starts_with(dst, 'https://h1.'))""",
+    "crawl_pages": f"SELECT min(url) AS url, 0::BIGINT AS depth, 3::BIGINT AS priority FROM pages GROUP BY {_norm()}",
     "robots_allowed": rf"""SELECT page_id, url, CASE length({_host()}) % 3
   WHEN 0 THEN NOT (regexp_matches({_path()}, '^/en/.*1') OR regexp_matches({_path()}, '\.html$')) OR (starts_with({_path()}, '/en/11') AND NOT regexp_matches({_path()}, '^/.*\.html$'))
   WHEN 1 THEN NOT starts_with({_path()}, '/de/') OR starts_with({_path()}, '/de/1') ELSE true END AS allowed FROM pages""",
@@ -158,3 +165,4 @@ SELECT count(*) AS discovered, count(*) FILTER (good) AS crawled, count(*) FILTE
     "sink_contents": f"SELECT path, arg_max(content, url) AS content FROM (SELECT 'out/' || {_slug()} || '.md' AS path, url, '# T' || page_id || chr(10) || chr(10) || 'URL: ' || url || chr(10) || 'Crawled at: now' || chr(10) || chr(10) || 'x' || chr(10) AS content FROM pages) GROUP BY path",
     "single_file": "SELECT md5(string_agg('# T' || chr(10) || chr(10) || 'URL: ' || url || chr(10) || 'Crawled at: now' || chr(10) || chr(10) || 'x' || chr(10), chr(10) || '---' || chr(10) || chr(10) ORDER BY url)) AS digest FROM pages",
 }
+ORACLES |= _DERIVED_ORACLES

@@ -253,8 +253,12 @@ def entities(t):
 
 @query
 def entities_derived(t):
-    text = F.concat(F.lit("Paid $"), F.floor("o_totalprice").cast("string"), F.lit(".00 on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" in #a1b2c3, see [x](https://e.example.com/"), F.col("o_orderkey").cast("string"), F.lit(") 978-1-23456-789-0"))
-    m = T.entities(text, {k: T.PATTERNS[k] for k in ("price", "iso_date", "hex_color", "md_link", "url", "us_date")})
+    key, day = F.col("o_orderkey").cast("string"), lambda f: F.date_format("o_orderdate", f)
+    text = F.concat(
+        F.lit("# Order "), key, F.lit("\nPaid $"), F.floor("o_totalprice").cast("string"), F.lit(".00 on "), day("yyyy-MM-dd"), F.lit(" in #a1b2c3, see [x](https://e.example.com/"), key, F.lit(") 978-1-23456-789-0\n## Next\nApril "),
+        day("d"), F.lit(", "), day("yyyy"), F.lit(" and "), day("MM/dd/yyyy"), F.lit(" or "), day("yyyy/MM/dd"), F.lit(" by GET /api/v1/orders/"), key, F.lit(" of github.com/a"), key, F.lit("/b\nmail u"), key, F.lit("@e.example.com, @h"), key, F.lit(", (555) 123-4567, 10.0.0."), day("d"), F.lit(", v1.2."), day("d"), F.lit(", 4111 1111 1111 1111")
+    )
+    m = T.entities(text, T.PATTERNS)
     return t("orders").select("o_orderkey", F.explode(m).alias("rule", "found")).select("o_orderkey", "rule", F.explode("found").alias("match"))
 
 
@@ -316,8 +320,8 @@ def unique_entities(t):
 def _graph(t):
     page = lambda kind, k, of: F.concat(F.lit("https://h"), (k % of).cast("string"), F.lit(f".example.com/{kind}/"), k.cast("string"))
     li = t("lineitem")
-    up = li.filter("l_linenumber <= 2").select(page("p", F.col("l_partkey"), 3).alias("src"), page("s", F.col("l_suppkey"), 5).alias("dst"), F.lit("external").alias("source"))
-    down = li.filter("l_linenumber = 1").select(page("s", F.col("l_suppkey"), 5).alias("src"), page("p", F.col("l_partkey"), 3).alias("dst"), F.lit("internal").alias("source"))
+    up = li.select(page("p", F.col("l_partkey"), 3).alias("src"), page("s", F.col("l_suppkey"), 5).alias("dst"), F.lit("external").alias("source"))
+    down = li.select(page("s", F.col("l_suppkey"), 5).alias("src"), page("p", F.col("l_partkey"), 3).alias("dst"), F.lit("internal").alias("source"))
     return up.unionByName(down)
 
 
@@ -343,16 +347,24 @@ def frontier_budget(t):
 
 @query
 def frontier_stats(t):
-    tasks = frontier.traverse(_graph(t), _seed(t), frontier.CrawlOptions(mode="deep", max_depth=4))
-    return frontier.stats(tasks, _graph(t).select(F.col("src").alias("url"), F.when(F.col("src").endswith("3"), 404).otherwise(200).alias("status")))
+    options = frontier.CrawlOptions(mode="deep", max_depth=2)
+    tasks = frontier.traverse(_graph(t), _seed(t), options)
+    skipped = frontier.rejected(_graph(t), _seed(t), tasks, options)
+    return frontier.stats(tasks, _graph(t).select(F.col("src").alias("url"), F.when(F.col("src").endswith("3"), 404).otherwise(200).alias("status")), skipped)
+
+
+@query
+def frontier_scope(t):
+    options = frontier.CrawlOptions(mode="full", max_depth=5, exclude=(r"/p/[0-9]*7$",))
+    tasks = frontier.traverse(_graph(t), _seed(t), options)
+    return frontier.rejected(_graph(t), _seed(t), tasks, options)
 
 
 @query
 def crawl_pages(t):
-    spark = t("pages").sparkSession
-    seeds = [r["url"] for r in t("pages").orderBy("page_id").limit(3).collect()]  # seeds are few by nature
-    x = crawl.crawl(t("pages"), seeds, frontier.CrawlOptions(mode="deep", max_depth=1))
-    return x.select("url", F.col("depth").cast("long").alias("depth"), F.col("priority").cast("long").alias("priority")) if spark else x
+    pages = t("pages")
+    x = crawl.crawl(pages, pages.select("url"), frontier.CrawlOptions(mode="deep", max_depth=1))
+    return x.select("url", F.col("depth").cast("long").alias("depth"), F.col("priority").cast("long").alias("priority"))
 
 
 @query
@@ -384,7 +396,8 @@ def backoff(t):
 
 @query
 def fetch_filter(t):
-    return t("events").select("event_id", _status().alias("status")).filter("status < 400").groupBy("status").agg(F.count("*").alias("n"))
+    x = t("events").select(F.col("event_id").cast("string").alias("url"), F.lit("").alias("html"), _status().alias("status"))
+    return crawl.fetched(x).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query
@@ -412,3 +425,8 @@ def sink_contents(t):
 def single_file(t):
     r = t("pages").select("url", F.lit("T").alias("title"), F.lit("x").alias("markdown"), F.lit("now").alias("crawled_at"))
     return sinks.single_text(r).select(F.md5("content").alias("digest"))
+
+
+from . import derived  # noqa: E402  (they come after the tables' own)
+
+QUERIES |= derived.QUERIES

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -71,7 +72,7 @@ def main(sf_dir: str, names: list[str]) -> None:
 
     import __spark_entry__ as e
 
-    spark = SparkSession.builder.master("local[4]").config(map={"spark.sql.shuffle.partitions": "8", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}).getOrCreate()
+    spark = SparkSession.builder.master(f"local[{os.environ.get('COMPARE_CPUS', '4')}]").config(map={"spark.sql.shuffle.partitions": "8", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     queries, sql = e.queries(), e.oracle_sql()
     for name in names or queries:
