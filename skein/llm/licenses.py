@@ -1,7 +1,7 @@
 """Licence scans: an Aho-Corasick automaton finds identifier tags and notice phrases, a shunting-yard parser evaluates expressions.
 
 The scan is local to rows and reads whole texts: one pass per text with the
-automaton. An expression after an identifier tag runs to the end of its line.
+automaton. An expression after an identifier tag runs to the end of its line or comment.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ ALLOWED = ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "
 #: Exceptions that make a licence usable that isn't by itself: (identifier, exception).
 EXCEPTIONS = (("GPL-2.0-only", "Classpath-exception-2.0"), ("GPL-2.0-or-later", "Classpath-exception-2.0"), ("GPL-3.0-only", "GCC-exception-3.1"), ("GPL-3.0-or-later", "GCC-exception-3.1"))
 _TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.:-]*\+?)")
+#: Where the expression after a tag ends: at its line or at the first end of its comment.
+_COMMENT_END = re.compile(r"[\r\n]|\*/|-->|//|#")
 _BIND = {"with": 3, "and": 2, "or": 1}
 
 
@@ -131,23 +133,31 @@ def _automaton(phrases: tuple[tuple[str, str], ...]) -> ahocorasick.Automaton:
     return a
 
 
-def scan(text: str | None, phrases: tuple[tuple[str, str], ...], allowed: frozenset[str], exceptions: frozenset[tuple[str, str]]) -> tuple[list[str], str]:
-    """The distinct notices of a text in the order of first occurrence, and the verdict: none, allowed, denied or invalid."""
-    low = (text or "").lower()
-    flat = " ".join(low.split()) if any(c in low for c in "\n\t\r") or "  " in low else low
-    found: dict[str, None] = {}
-    tagged = False
-    for end, (n, name) in _automaton(phrases).iter_long(flat):
+def _phrases_in(flat: str, phrases: tuple[tuple[str, str], ...]) -> tuple[list[str], bool]:
+    """The licences of the phrases in a text, in the order of occurrence, and whether it has a tag. A phrase within a longer one that also stands there doesn't count, nor does one within a longer word."""
+    found, tagged = [], False
+    for end, (n, name) in _automaton(phrases).iter(flat):
         if name is None:
             tagged = True
         elif not (end >= n and flat[end - n].isalnum()) and not flat[end + 1 : end + 2].isalnum():
-            found[name] = None
+            found.append((end - n + 1, -end, name))
+    names, reached = [], -1
+    for _, end, name in sorted(found):
+        if -end > reached:
+            names.append(name)
+            reached = -end
+    return names, tagged
+
+
+def scan(text: str | None, phrases: tuple[tuple[str, str], ...], allowed: frozenset[str], exceptions: frozenset[tuple[str, str]]) -> tuple[list[str], str]:
+    """The distinct notices of a text in the order of first occurrence, and the verdict: none, allowed, denied or invalid."""
+    low = (text or "").lower()
+    names, tagged = _phrases_in(" ".join(low.split()), phrases)
+    found = dict.fromkeys(names)
     expressions = []
-    if tagged:  # an expression ends with its line, which flat doesn't know
+    if tagged:  # an expression ends with its line or comment, which the flat text doesn't know
         for part in re.split(re.escape(TAG), low)[1:]:
-            line = part.split("\n", 1)[0].strip()
-            line = re.sub(r"\s*(\*/|-->|//.*|#.*)\s*$", "", line).strip()
-            expressions.append(line)
+            expressions.append(_COMMENT_END.split(part, maxsplit=1)[0].strip())
     verdict = "none"
     for x in [*found, *expressions]:
         try:
@@ -165,8 +175,9 @@ def licenses(docs: DataFrame, phrases: dict[str, str] | None = None, allowed: tu
     expressions in lower case, joined by "; ". The verdict is none without a
     notice, else the worst of its notices: invalid (an expression that can't be
     parsed), denied, allowed. Case, and line ends and runs of white space within
-    a phrase, make no difference; a phrase within a longer word is none. A null or
-    empty text has no notice. Rows with null or repeated doc_id have rows of
+    a phrase, make no difference; white space is what Unicode calls so. A phrase within a longer word is none,
+    and one within a longer phrase counts only with it. A text of any length is scanned whole. A null or
+    empty text has no notice; an empty table gives an empty result. Rows with null or repeated doc_id have rows of
     their own; other columns aren't read.
     """
     table = tuple((phrases or PHRASES).items())
