@@ -12,8 +12,10 @@ of passages that very many documents share stay out, and no pair is lost.
 
 Groups instead of all pairs. Groups are connected components, so of thousands
 of copies not each pair is needed. First each document is verified against one
-leader of its lists; then every pair of a list whose documents are still in
-different components. A pair that is left out lies within one component.
+leader of its lists; then the lists whose documents are still in different
+components are compared in blocks: sketches stand in the rows that are joined, a long list is split into blocks of
+BLOCK documents, each against each, and only pairs of different components whose sketches pass the estimate
+leave the join. A pair that is left out lies within one component or fails the estimate.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from . import common
 
 #: Up to this many bytes of identifiers are broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: Documents in a block of a long list.
+BLOCK = 512
 
 
 def _sketch_batches(width: int, k: int):
@@ -149,20 +153,19 @@ def _grouped(docs: DataFrame, width: int = 3, k: int = 64, threshold: float = 0.
     by_node = Window.partitionBy("node")
     ranked = values.join(counts, "v").select("*", F.count("*").over(by_node).alias("shared"), F.row_number().over(by_node.orderBy("df", "v")).alias("r"))
     prefix = ranked.filter(F.col("s") - F.col("shared") + F.col("r") <= F.col("s") - F.ceil(F.lit(estimate) * F.col("s")) + 1)
-    lists, lists_path = common.write_table(prefix.select("v", "node", "n"), "lists")
+    lists, lists_path = common.write_table(prefix.select("v", "node", "n", "r"), "lists")
 
     fits = F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m")
     leaders = lists.groupBy("v").agg(F.min(F.struct("node", "n")).alias("l")).select("v", F.col("l.node").alias("b"), F.col("l.n").alias("m"))
     stars = lists.withColumnRenamed("node", "a").join(leaders, "v").filter("a <> b").filter(fits).groupBy("a", "b").agg(F.count("*").alias("both"))
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("both", -F.col("b"))).alias("b"))
 
-    def similar(pairs: DataFrame, name: str) -> tuple[DataFrame, str]:
-        sketch = nodes.select("node", "sk")
-        x = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
-        u = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-        x = x.select("a", "b", u.alias("u"), F.array_intersect("sa", "sb").alias("i"))
-        x = x.filter(F.size(F.array_intersect("u", "i")) >= F.ceil(F.lit(estimate) * F.size("u")))
-        likely, likely_path = common.write_table(x.select("a", "b"), name)
+    sketch = nodes.select("node", "sk")
+    u = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
+    alike = F.size(F.array_intersect(u, F.array_intersect("sa", "sb"))) >= F.ceil(F.lit(estimate) * F.size(u))
+
+    def verified(pairs: DataFrame, name: str) -> tuple[DataFrame, str]:
+        likely, likely_path = common.write_table(pairs, name)
         used = likely.select(F.col("a").alias("key")).union(likely.select(F.col("b").alias("key"))).distinct()
         if keyed_path:
             used = used.join(members.select("key", "doc_id", "digest"), "key")
@@ -174,15 +177,20 @@ def _grouped(docs: DataFrame, width: int = 3, k: int = 64, threshold: float = 0.
         common.remove(spark, likely_path)
         return found, path
 
-    first_edges, first_path = similar(best, "leaders")
+    likely = best.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").filter(alike).select("a", "b")
+    first_edges, first_path = verified(likely, "leaders")
     first_c, first_c_path = common.write_table(components(first_edges), "components")
 
-    placed, placed_path = common.write_table(lists.join(first_c, "node", "left").select("v", "node", "n", F.coalesce("c", "node").alias("c")), "placed")
-    mixed = placed.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("v")
-    left = placed.join(mixed, "v", "left_semi")
-    rest = left.select("v", F.col("node").alias("a"), "n", F.col("c").alias("ca")).join(left.select("v", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("cb")), "v")
-    rest = rest.filter("a < b and ca <> cb").filter(fits).select("a", "b").distinct()
-    second_edges, second_path = similar(rest, "rest")
+    placed, placed_path = common.write_table(lists.join(first_c, "node", "left").select("v", "node", "n", "r", F.coalesce("c", "node").alias("c")), "placed")
+    mixed = placed.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).filter("x < y").select("v", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rarer = F.collect_list("v").over(by_node.orderBy("r").rowsBetween(Window.unboundedPreceding, -1))
+    left = placed.join(mixed, "v").withColumn("rarer", rarer).join(sketch, "node")
+    one = left.select("v", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.col("node").alias("a"), "n", F.col("c").alias("ca"), F.col("sk").alias("sa"), F.col("rarer").alias("ra"))
+    other = left.select("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("cb"), F.col("sk").alias("sb"), F.col("rarer").alias("rb"))
+    # a pair is compared in the rarest list that it shares, once
+    enough = F.size(F.array_intersect("sa", "sb")) >= F.ceil(F.lit(estimate) * F.greatest(F.size("sa"), F.size("sb")))
+    rest = one.join(other, ["v", "block"]).filter("a < b and ca <> cb").filter(fits).filter(~F.arrays_overlap("ra", "rb")).filter(enough).filter(alike).select("a", "b")
+    second_edges, second_path = verified(rest, "rest")
     final, final_path = common.write_table(components(first_edges.unionByName(second_edges)), "groups")
     common.remove(spark, sk_path, lists_path, first_path, second_path, first_c_path, placed_path)
 
