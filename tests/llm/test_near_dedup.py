@@ -4,6 +4,8 @@ import random
 from collections import Counter
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from skein.llm import near_dedup
 
 
@@ -82,6 +84,27 @@ def test_texts_that_share_an_id_are_documents_of_their_own(spark):
     assert kept == Counter([(1, "a"), (2, "b"), (4, "c"), (4, "d"), (6, "e"), (7, "f"), (8, ""), (8, "")])
 
 
+def test_a_passage_in_very_many_documents(spark):
+    rnd = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(i, " ".join(f"u{i}x{k}" for k in range(90 if i % 3 else 40)) + " " + passage) for i in range(300)]
+    docs += [(5000 + i, d.replace(" p7 ", " other ")) for i, (_, d) in enumerate(rnd.sample(docs, 20))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.group_id for r in near_dedup.near_groups(df).collect()}
+    want = brute(docs)
+    assert set(got) <= set(want) and sum(got.get(i) == g for i, g in want.items()) >= 0.98 * len(want)
+
+
+def test_order_of_rows_and_clashing_columns(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, words("t")), (2, words("o")), (2, words("t") + " more"), (3, words("o") + " x")]
+    for order in ((3, 2, 1, 0), (2, 0, 3, 1)):
+        df = spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").withColumns({c: F.lit("kept") for c in ("__gone", "__digest", "__again", "__r", "key", "c", "node")}).coalesce(1)
+        assert sorted((r.doc_id, r.group_id) for r in near_dedup.near_groups(df).collect()) == [(1, 1), (2, 1), (2, 2), (3, 2)]
+        kept = near_dedup.drop_near_copies(df)
+        assert kept.columns == df.columns and sorted((r.doc_id, r.text[0], r["__r"], r["__gone"]) for r in kept.collect()) == [(1, "t", "kept", "kept"), (2, "o", "kept", "kept")]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 55), (7, 7)], "a long, b long")
     got = {r.node: r.c for r in near_dedup.components(edges).collect()}

@@ -28,6 +28,9 @@ def test_mix_edges(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("domain", F.lit("clash")).withColumn("epochs", F.lit(0))
     assert mixing.mix(df).columns == df.columns
     assert {r.doc_id for r in mixing.mixture(df).collect()} <= {1, 2, 3, None}
+    clash = df.withColumns({c: F.lit("kept") for c in ("__n", "__epoch", "__epochs", "__cut", "__domain", "__of_lang", "n")})
+    mixed = mixing.mix(clash)
+    assert mixed.columns == clash.columns and {(r["__n"], r["__epoch"], r["__cut"], r["n"]) for r in mixed.collect()} == {("kept",) * 4}
     assert mixing.mixture(df.limit(0)).isEmpty() and mixing.mix(df.limit(0)).isEmpty()
 
 
@@ -69,6 +72,21 @@ def test_nearest_against_brute_force(spark):
     assert knn.nearest(df.limit(0)).isEmpty()
 
 
+def test_nearest_of_a_query_set(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SLICE_SHARDS", 2)
+    rng = np.random.default_rng(2)
+    x = rng.integers(-3, 4, (900, 5)).astype(float)  # many ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(300, x[3].tolist()), (-100, x[7].tolist())], "vec_id long, embedding array<double>").withColumn("home", F.lit("clash")).repartition(4)
+    ids, y = np.append(np.arange(900), [300, -100]), np.vstack((x, x[3], x[7]))
+    got = Counter((r.vec_id, r.rank, r.neighbour_id, r.distance) for r in knn.nearest(df, k=6, queries=F.col("vec_id") % 100 == 0, shard_rows=120, leaf=16).collect())
+    want = Counter()
+    for q in np.flatnonzero(ids % 100 == 0):
+        near = sorted((((y[j] - y[q]) ** 2).sum(), int(ids[j])) for j in range(len(y)) if j != q)[:6]
+        want.update((int(ids[q]), k + 1, j, round(math.sqrt(d), 6)) for k, (d, j) in enumerate(near))
+    assert got == want
+    assert knn.nearest(df, k=6, queries=F.col("vec_id") > 10_000).isEmpty()
+
+
 def test_close_ties_of_long_vectors():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(12, 64))
@@ -166,6 +184,26 @@ def test_pipeline(spark, sf_dir, tmp_path):
     assert docs.columns == ["doc_id", "n_tokens", "token_ids"] and docs.count() == before.count()
 
 
+def test_pipeline_edges(spark, tmp_path):
+    words = [f"{chr(97 + i % 20)}{chr(97 + i // 20)}le" for i in range(400)]
+    long = " ".join(words[i % 397] + words[i // 397] for i in range(60_000))
+    text = lambda k: " ".join(words[(k * 31 + i * 7) % 400] for i in range(60)) + f" document {k}"
+    rows = [(1, text(1), "en", "src1", 9), (2, text(1), "en", "src1", 9), (3, text(3), None, None, None), (4, None, "en", "src1", 0), (5, "", "de", "src2", 0), (6, " \n ", "de", "src2", 3), (7, long, "fr", "src3", 1), (8, text(8), "en", "src1", 9), (8, text(9), "en", "src1", 9), (None, text(10), "es", "src4", 9), (11, "no no no no no", "en", "src1", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("kept") for c in ("__h", "__n", "__gone", "__r", "__again", "domain", "token", "c")})
+    for whole in (docs, docs.limit(0)):
+        x = whole
+        for name, stage in corpus_pipeline.STAGES:
+            before, x = x, common.write_table(stage(spark, x, ""), f"edge-{name}")[0]
+            if name == "quality":
+                assert sorted(r.doc_id or 0 for r in x.collect()) == ([0, 1, 2, 3, 7, 8, 8] if whole is docs else [])
+            if name == "near_dedup":
+                assert sorted(r.doc_id or 0 for r in x.collect()) == ([0, 1, 3, 7, 8, 8] if whole is docs else [])
+            if name != "bpe":
+                assert x.columns == docs.columns and x.filter("__h <> 'kept' or __n <> 'kept' or __gone <> 'kept' or __r <> 'kept'").isEmpty()
+        assert x.columns == ["doc_id", "n_tokens", "token_ids"] and x.count() == before.count()
+
+
 def test_entry_without_the_subpackage():
     import subprocess
     import sys

@@ -65,6 +65,15 @@ def test_token_files(spark):
         token_counts.write_files(spark.createDataFrame([(1, [eod])], "doc_id long, token_ids array<int>"), eod)[0].collect()
 
 
+def test_document_counts_against_an_encoder(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.lit("clash").alias("n_tokens"), F.lit(1).alias("path"))
+    extra = spark.createDataFrame([(None, None, "x", 1), (7, "", "x", 1), (7, "again and again", "x", 1), (7, "again and again", "x", 1), (8, "long words " * 30_000, "x", 1)], docs.schema)
+    whole = docs.union(extra).repartition(3)
+    enc = encoder()
+    want = sorted((r.doc_id or -1, len(enc.encode_ordinary(r.text or ""))) for r in whole.collect())
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in token_counts.document_counts(whole, block_bytes=1 << 16).collect()) == want
+
+
 def test_open_end_and_empty_file(spark):
     uri = common.new_path(spark, "open")
     fs, path = common.open_fs(uri)
@@ -86,6 +95,8 @@ def test_chat(spark):
     assert r.rendered == "<|im_start|>user name=ann\n<|im_end|>\n<|im_start|>system\nbe<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n"
     a, b = map(int, r.spans.split("-"))
     assert (r.mask, r.rendered[a:b]) == ("001", "hi < |im_end|><|im_end|>")
+    long = chat.rotate(spark.createDataFrame([(1, 1, "ann", "word " * 100_000), (1, 2, "bob", "x")], "conv_id long, turn long, role string, text string")).filter("perspective = 'ann'").first()
+    assert long.mask == "10" and len(long.rendered) > 500_000
     assert got[3, "unknown"].mask == "11" and chat.rotate(df.limit(0)).isEmpty()
 
 
@@ -105,6 +116,34 @@ def test_license_scan(spark):
     assert got == {1: (1, "allowed"), 2: (1, "denied"), 3: (2, "denied"), 4: (0, "none"), 5: (1, "invalid"), 6: (0, "none"), None: (0, "none")}
 
 
+def test_license_scan_of_nested_phrases_and_comment_ends():
+    table, ok, ex = tuple(licenses.PHRASES.items()), frozenset(licenses.ALLOWED), frozenset(licenses.EXCEPTIONS)
+    scan = lambda t: licenses.scan(t, table, ok, ex)
+    assert scan("Unreleased under the MIT License") == (["MIT"], "allowed") and scan("xreleased under the mit license") == (["MIT"], "allowed")
+    assert scan("apache\u00a0license, version 2.0") == scan("apache\u00a0license,\tversion 2.0\n") == (["Apache-2.0"], "allowed")
+    assert scan("/* SPDX-License-Identifier: MIT */ int x; // y") == (["mit"], "allowed")
+    assert scan("<!-- SPDX-License-Identifier: GPL-3.0-only --> <p>") == (["gpl-3.0-only"], "denied")
+    assert scan("x" * 300_000 + " all rights\n reserved " + "y " * 100_000) == (["LicenseRef-Proprietary"], "denied")
+
+
+def test_license_expressions_against_their_trees():
+    ok, ex, rnd = frozenset(licenses.ALLOWED), frozenset(licenses.EXCEPTIONS), random.Random(4)
+    leaves = [("MIT", True), ("GPL-3.0-only", False), ("apache-2.0", True), ("GPL-2.0-only WITH Classpath-exception-2.0", True), ("GPL-2.0+", False), ("bsd-3-clause", True), ("Foo-1.0", False)]
+
+    def tree(depth):  # text, value, how closely its last operator binds
+        if depth == 0 or rnd.random() < 0.2:
+            return (*rnd.choice(leaves), 3)
+        (a, x, p), (b, y, q), op = tree(depth - 1), tree(depth - 1), rnd.choice(["and", "or"])
+        mine = 2 if op == "and" else 1
+        wrap = lambda t, k: f"({t})" if k < mine or rnd.random() < 0.2 else t
+        word = rnd.choice([op, op.upper(), op.title()])
+        return f"{wrap(a, p)} {word} {wrap(b, q)}", (x and y) if op == "and" else (x or y), mine
+
+    for _ in range(2000):
+        text, value, _ = tree(4)
+        assert licenses.allows(licenses.to_postfix(text), ok, ex) == value, text
+
+
 def brute_scan(text):
     flat = " ".join((text or "").lower().split())
     out = set()
@@ -133,4 +172,11 @@ def test_quality(spark):
     assert (1, "", False) in got and (2, "no_words", True) in got and (3, "no_words", True) in got and (4, "symbols", True) in got and (5, "lines,repeats", True) in got and (5, "", False) in got and (None, "", False) in got
     kept = quality.drop_rejected(df)
     assert kept.columns == df.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 5]
+    clash = df.withColumns({c: F.lit("kept") for c in ("__h", "__f", "__host", "__verdict", "hard", "f")})
+    kept = quality.drop_rejected(clash)
+    assert kept.columns == clash.columns and {(r["__h"], r["__f"], r["__host"], r["hard"]) for r in kept.collect()} == {("kept",) * 4}
+    ties = spark.createDataFrame([(i, good if i % 2 else "### $$$ %%%", f"host{i // 4}") for i in range(16)], "doc_id long, text string, source string")
+    assert {(r.host, r.rate, r.verdict) for r in quality.quality_verdicts(ties).collect()} == {(f"host{k}", 0.5, "normal") for k in range(4)}
+    short = quality.quality_verdicts(spark.createDataFrame([(1, "spam spam spam spam spam", "a"), (2, "a b", "a"), (3, "one", "a")], "doc_id long, text string, source string"))
+    assert {(r.doc_id, r.hard) for r in short.collect()} == {(1, "repeats"), (2, ""), (3, "")}
     assert quality.quality_verdicts(df.limit(0)).isEmpty() and quality.drop_rejected(df.limit(0)).isEmpty()
