@@ -62,6 +62,25 @@ def raw_fragment(url: ColumnLike) -> Column:
     return F.regexp_extract(trimmed(url), r"^[^#]*#(.*)$", 1)
 
 
+#: Between the parts of a split address.
+_CUT = "\x01\x02"
+_WHOLE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)(?::([0-9]*))?[^/?#]*)?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+
+
+def parts(url: Column, body: Callable[..., Column]) -> Column:
+    """body(scheme, user, host, port, path, query) of an address, which one expression splits once: as the functions of these names give them, path and query raw, "" where there is none."""
+    split = F.split(F.regexp_replace(trimmed(url), _WHOLE, _CUT.join(f"${k}" for k in range(1, 7))), _CUT)
+
+    def named(p: Column) -> Column:
+        at = lambda k: F.coalesce(F.get(p, F.lit(k)), F.lit(""))
+        usual = F.lit(False)
+        for name, number in DEFAULT_PORTS.items():
+            usual = usual | ((at(3) == number) & (F.lower(at(0)) == name))
+        return let(F.struct(F.lower(at(0)).alias("s"), at(1).alias("u"), F.lower(at(2)).alias("h"), F.when(usual, "").otherwise(at(3)).alias("n"), at(4).alias("p"), at(5).alias("q")), lambda x: body(x["s"], x["u"], x["h"], x["n"], x["p"], x["q"]))
+
+    return let(split, named)
+
+
 def remove_dots(path: Column) -> Column:
     """A path whose segments "." and ".." are resolved."""
 
@@ -76,9 +95,13 @@ def remove_dots(path: Column) -> Column:
     return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), let(F.split(path, "/"), kept)).otherwise(path)
 
 
+def _clean_path(raw: Column) -> Column:
+    return let(F.replace(raw, F.lit("\\"), F.lit("/")), lambda p: F.when(p == "", F.lit("/")).otherwise(remove_dots(p)))
+
+
 def path(url: ColumnLike) -> Column:
     """The path, dot segments resolved; "/" where it is empty."""
-    return let(F.replace(raw_path(url), F.lit("\\"), F.lit("/")), lambda p: F.when(p == "", F.lit("/")).otherwise(remove_dots(p)))
+    return _clean_path(raw_path(url))
 
 
 def percent_decode(x: Column, plus: bool = False) -> Column:
@@ -90,7 +113,11 @@ def percent_decode(x: Column, plus: bool = False) -> Column:
 
 def query_pairs(url: ColumnLike) -> Column:
     """array of struct(k, v): the decoded parameters in the order of (k, v)."""
-    parts = F.filter(F.split(raw_query(url), "&"), lambda s: s != "")
+    return _pairs(raw_query(url))
+
+
+def _pairs(query: Column) -> Column:
+    parts = F.filter(F.split(query, "&"), lambda s: s != "")
     k = lambda s: F.regexp_extract(s, r"^([^=]*)", 1)
     v = lambda s: F.regexp_extract(s, r"^[^=]*=(.*)$", 1)
     return F.array_sort(F.transform(parts, lambda s: F.struct(percent_decode(k(s), True).alias("k"), percent_decode(v(s), True).alias("v"))))
@@ -108,14 +135,14 @@ def normalize(url: ColumnLike, remove_www: bool = True) -> Column:
     def decoded(p: Column) -> Column:
         return F.when(p.contains("%"), F.array_join(F.transform(F.split(p, "/"), lambda s: percent_decode(s)), "/")).otherwise(p)
 
-    def whole(h: Column) -> Column:
-        p = let(let(path(u), decoded), lambda p: F.when((F.length(p) > 1) & p.endswith("/"), F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p))
-        q = F.array_join(F.transform(query_pairs(u), lambda x: F.concat(x["k"], F.lit("="), x["v"])), "&")
+    def whole(s: Column, _: Column, h: Column, n: Column, raw: Column, query: Column) -> Column:
+        p = let(let(_clean_path(raw), decoded), lambda p: F.when((F.length(p) > 1) & p.endswith("/"), F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p))
+        q = F.when(query == "", "").otherwise(F.array_join(F.transform(_pairs(query), lambda x: F.concat(x["k"], F.lit("="), x["v"])), "&"))
         mark = lambda x, sign: let(x, lambda v: F.when(v != "", F.concat(F.lit(sign), v)).otherwise(""))
-        same = F.concat(scheme(u), F.lit("://"), F.regexp_replace(h, r"^www\.", "") if remove_www else h, mark(port(u), ":"), p, mark(q, "?"))
-        return F.when((h == "") | (scheme(u) == ""), u).otherwise(same)
+        same = F.concat(s, F.lit("://"), F.regexp_replace(h, r"^www\.", "") if remove_www else h, F.when(n != "", F.concat(F.lit(":"), n)).otherwise(""), p, mark(q, "?"))
+        return F.when((h == "") | (s == ""), u).otherwise(same)
 
-    return let(host(u), whole)
+    return F.when(u.isNotNull(), parts(u, whole))
 
 
 def is_same_domain(a: ColumnLike, b: ColumnLike) -> Column:
@@ -145,14 +172,17 @@ def sanitize(raw: ColumnLike) -> Column:
 def serialize(url: ColumnLike) -> Column:
     """An absolute URL as a parser writes it: lower-case scheme and host, no default port, "/" for an empty path, blanks and quotes escaped."""
 
-    def whole(u: Column) -> Column:
-        rest = F.regexp_extract(u, r"^[^?#]*([?#](?s:.*))$", 1)
-        user = F.regexp_extract(u, rf"{_HEAD}//([^/?#]*@)", 2)
-        at = let(port(u), lambda p: F.when(p != "", F.concat(F.lit(":"), p)).otherwise(""))
-        out = F.concat(scheme(u), F.lit("://"), user, host(u), at, path(u), rest)
-        for a, b in ((" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E")):
-            out = F.replace(out, F.lit(a), F.lit(b))
-        return F.when(host(u) != "", out).otherwise(u)
+    def whole(x: Column) -> Column:
+        rest = F.when(x.rlike("[?#]"), F.regexp_extract(x, r"^[^?#]*([?#](?s:.*))$", 1)).otherwise("")
+
+        def written(s: Column, user: Column, h: Column, n: Column, raw: Column, _: Column) -> Column:
+            out = F.concat(s, F.lit("://"), user, h, F.when(n != "", F.concat(F.lit(":"), n)).otherwise(""), _clean_path(raw), rest)
+            escaped = out
+            for a, b in ((" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E")):
+                escaped = F.replace(escaped, F.lit(a), F.lit(b))
+            return F.when(h != "", escaped).otherwise(x)
+
+        return F.when(x.isNotNull(), parts(x, written))
 
     return let(trimmed(url), whole)
 
@@ -188,21 +218,24 @@ def file_path(url: ColumnLike, folder: str, mirror: bool = False) -> Column:
 def resolve(base: ColumnLike, relative: ColumnLike) -> Column:
     """The absolute URL of a reference on a page, or null if it is blank or the base has no host."""
 
-    def joined(b: Column, r: Column) -> Column:
-        root = F.concat(scheme(b), F.lit("://"), F.regexp_extract(b, rf"{_HEAD}//([^/?#]*)", 2))
+    def joined(b: Column, s: Column, h: Column, raw: Column, r: Column) -> Column:
+        root = F.concat(s, F.lit("://"), F.regexp_extract(b, rf"{_HEAD}//([^/?#]*)", 2))
         query = F.regexp_extract(b, r"^[^?#]*(\?[^#]*)", 1)
         return (
             F.when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), r)
-            .when(r.startswith("//"), F.concat(scheme(b), F.lit(":"), r))
+            .when(r.startswith("//"), F.concat(s, F.lit(":"), r))
             .when(r.startswith("/"), F.concat(root, r))
-            .when(r.startswith("?"), F.concat(root, path(b), r))
-            .when(r.startswith("#"), F.concat(root, path(b), query, r))
-            .otherwise(F.concat(root, F.regexp_extract(path(b), r"^(.*/)", 1), r))
+            .when(r.startswith("?"), F.concat(root, _clean_path(raw), r))
+            .when(r.startswith("#"), F.concat(root, _clean_path(raw), query, r))
+            .otherwise(F.concat(root, F.regexp_extract(_clean_path(raw), r"^(.*/)", 1), r))
         )
 
     def whole(b: Column, r: Column) -> Column:
-        out = let(joined(b, r), lambda j: F.when(j.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), serialize(j)).otherwise(j))
-        return F.when((r != "") & ((host(b) != "") | r.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), out)
+        def of_base(s: Column, _u: Column, h: Column, _n: Column, raw: Column, _q: Column) -> Column:
+            out = let(joined(b, s, h, raw, r), lambda j: F.when(j.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), serialize(j)).otherwise(j))
+            return F.when((r != "") & ((h != "") | r.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), out)
+
+        return F.when(b.isNotNull(), parts(b, of_base))
 
     slashes = lambda r: F.when(scheme(r).isin("", "http", "https"), F.replace(r, F.lit("\\"), F.lit("/"))).otherwise(r)
     return let(trimmed(base), lambda b: let(let(trimmed(relative), slashes), lambda r: whole(b, r)))

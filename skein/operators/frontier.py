@@ -13,8 +13,8 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +35,8 @@ def check_pattern(pattern: str) -> None:
             re.compile(pattern)
         else:
             sc._jvm.java.util.regex.Pattern.compile(pattern)
-    except (re.error, Py4JJavaError) as e:
-        raise ValueError(f"bad pattern {pattern!r}: {getattr(e, 'java_exception', e)}") from e
+    except (re.error, PySparkException) as e:
+        raise ValueError(f"bad pattern {pattern!r}: {e}") from e
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,8 @@ CATEGORIES = ("internal", "external", "subdomains", "resources", "feeds", "sitem
 
 def category(kind: Column, url: Column, base: Column) -> Column:
     """Which of CATEGORIES a link of a kind (page, resource, feed, sitemap) belongs to."""
-    page = F.when(urls.is_same_domain(url, base), "internal").when(urls.is_subdomain(url, base), "subdomains").otherwise("external")
+    hosts = F.struct(urls.host(url).alias("a"), urls.host(base).alias("b"))
+    page = urls.let(hosts, lambda h: F.when((h["a"] != "") & (h["a"] == h["b"]), "internal").when((h["b"] != "") & F.endswith(h["a"], F.concat(F.lit("."), h["b"])), "subdomains").otherwise("external"))
     return F.when(kind == "resource", "resources").when(kind == "feed", "feeds").when(kind == "sitemap", "sitemaps").otherwise(page)
 
 

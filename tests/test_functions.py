@@ -99,3 +99,40 @@ def test_small_parsers(spark):
         assert one(spark, T.code_language("t"), t=text) == lang
     assert one(spark, T.formatted_phone("t"), t="555-123-4567") == "(555) 123-4567"
     assert one(spark, T.keyword_density("t", "ab"), t="ab abab x") == pytest.approx(1.0)
+
+
+def test_functions_in_sql(spark):
+    from skein.functions import sql
+
+    assert {"own_url_normalize", "own_word_count"} <= set(sql.register(spark, "own_"))
+    x = spark.sql("SELECT own_url_normalize(u) AS n, own_url_is_subdomain(u, 'https://example.com/') AS below, own_word_count('a b  c') AS words FROM (SELECT concat('HTTPS://www.example.com:443/a%2', 'x/?b=', id) AS u FROM range(3))")
+    assert [(r.n, r.below, r.words) for r in x.orderBy("n").collect()] == [(f"https://example.com/a%2x?b={i}", True, 3) for i in range(3)]
+    assert "Python" not in x._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reports_and_upsert(spark, tmp_path):
+    from skein.sources import sinks
+
+    pages = spark.createDataFrame([("https://a/1", "One", 1), ("https://a/2", "", 2)], "url string, title string, page_id long")
+    files = sinks.manifest(pages)
+    assert sinks.index_text(files).first().content == "# Crawl Index\n\n- [One](000_a-1.md)  \n  https://a/1\n- [(untitled)](001_a-2.md)  \n  https://a/2\n"
+    words = spark.createDataFrame([("x", 3), ("a", 1), ("b", 1)], "word string, n long")
+    edges = spark.createDataFrame([("s", f"d{i}") for i in range(3)] + [("r", "d")], "src string, dst string")
+    assert sinks.report_text(pages, words, edges, 2, 2).first().content == "# Site Report\n\nPages crawled: 2\n\n## Top Words\n\n| Word | Count |\n|------|-------|\n| x | 3 |\n| a | 1 |\n\n## Link Graph\n\n**r**: d\n**s**: d0, d1 (+1 more)\n"
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = lambda *r: spark.createDataFrame(list(r), "url string, title string, crawled_at long, links array<string>")
+    rows(("u1", "old", 1, [])).drop("links").write.jdbc(url, "pages")
+    sinks.upsert_jdbc(rows(("u1", "new", 2, []), ("u2", "b", 1, ["x"])), url, "pages")
+    sinks.upsert_jdbc(rows(("u1", "late", 1, [])), url, "pages")
+    assert sorted(map(tuple, spark.read.jdbc(url, "pages").collect())) == [("u1", "new", 2), ("u2", "b", 1)]
+
+
+def test_numbers_and_descriptions(spark):
+    from skein.operators import corpus
+
+    df = spark.createDataFrame([(i % 97, i) for i in range(1000)], "k long, name long").repartition(7)
+    got = corpus.numbered(df.drop("name"), "k", "n").collect()
+    assert sorted(r.n for r in got) == list(range(1000)) and [r.k for r in sorted(got, key=lambda r: r.n)] == sorted(r.k for r in got)
+    one = corpus.described(df, k=F.col("k"), none=F.lit(None)).collect()
+    assert [(r.measure, r.n, r.least, r.most) for r in one] == [("k", 1000, 0.0, 96.0)]
+    assert corpus.exact_dedup(spark.createDataFrame([(None, "only me"), (3, "x"), (1, "x"), (1, "x"), (1, "y"), (None, None)], "doc_id long, text string")).count() == 4
