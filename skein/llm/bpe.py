@@ -349,7 +349,7 @@ def _lookup(shards: list[digests.Shard], vocabulary: str):
     def run(batches):
         ranks = read_ranks(vocabulary)
         for b in batches:
-            for i, j in common.ranges(b.column(b.num_columns - 1), _CHUNK):
+            for i, j in common.ranges(common.lengths(b.column(b.num_columns - 1)), _CHUNK):
                 part = b.slice(i, j - i)
                 segs, miss = _look_up(part.column(b.num_columns - 1), ranks, shards)
                 yield pa.RecordBatch.from_arrays([*part.columns, segs, miss], [*b.schema.names, "segs", "miss"])

@@ -150,11 +150,16 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), np.searchsorted(starts, off)
 
 
-def ranges(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
-    """Half-open ranges of texts of about size bytes, of one text at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+def lengths(texts: pa.Array) -> np.ndarray:
+    """Bytes of each text, 0 for null."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+
+
+def ranges(sizes: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Half-open ranges of rows of about size bytes, of one row at least; sizes has the rows' bytes."""
+    ends = np.cumsum(sizes)
     i = 0
-    while i < len(texts):
+    while i < len(sizes):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size)))
         yield i, j
         i = j
@@ -162,7 +167,7 @@ def ranges(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
 
 def slices(texts: pa.Array, size: int = 2 << 20) -> Iterator[pa.Array]:
     """texts in parts of about size bytes, of one text at least."""
-    for i, j in ranges(texts, size):
+    for i, j in ranges(lengths(texts), size):
         yield texts.slice(i, j - i)
 
 

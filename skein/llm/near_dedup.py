@@ -12,10 +12,14 @@ of passages that very many documents share stay out, and no pair is lost.
 
 Groups instead of all pairs. Groups are connected components, so of thousands
 of copies not each pair is needed. First each document is verified against one
-leader of its lists; then the lists whose documents are still in different
-components are compared in blocks: sketches stand in the rows that are joined, a long list is split into blocks of
-BLOCK documents, each against each, and only pairs of different components whose sketches pass the estimate
-leave the join. A pair that is left out lies within one component or fails the estimate.
+leader of its lists. Then each document of a list that still has several components is
+verified against the list's smallest document. That also bounds what it can share with any other document of the
+list: what it shares with the smallest, and of its other shingles those that the corpus has elsewhere, as its sketch tells. If the bound
+is below the threshold, the document leaves the list; so a passage that many otherwise different
+documents share costs one verification a document and not one a pair. What is left is
+compared in blocks: sketches stand in the rows that are joined, a long list is split into blocks of
+BLOCK documents, each against each, a pair is compared in the rarest list that it shares, and only pairs of different
+components whose sketches pass the estimate leave the join.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from . import common
 BROADCAST_BYTES = 32 << 20
 #: Documents in a block of a long list.
 BLOCK = 512
+#: Sketch values by which the bound on shared shingles is loosened, as sketches are samples: if 3 in k of a document's shingles were shared elsewhere, 1 sketch in 20 would show none.
+MARGIN = 3
 
 
 def _sketch_batches(width: int, k: int):
@@ -51,15 +57,19 @@ def _sketch_batches(width: int, k: int):
     return run
 
 
-def _jaccard_batches(width: int, threshold: float):
+def _overlap_batches(width: int):
+    """(a, b, both, na, nb) of each pair of texts: the sizes of their sets and of what they share. Each text of a batch is hashed once."""
+
     def run(batches):
-        for b in batches:
-            sets = zip(common.shingle_sets(b.column("ta"), width), common.shingle_sets(b.column("tb"), width))
-            keep = []
-            for x, y in sets:
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(bool(len(x) and len(y) and both >= threshold * (len(x) + len(y) - both)))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for i, j in common.ranges(common.lengths(whole.column("ta")) + common.lengths(whole.column("tb")), 8 << 20):
+                b = whole.slice(i, j - i)
+                d = pa.concat_arrays([b.column("ta"), b.column("tb")]).dictionary_encode()
+                sets = list(common.shingle_sets(d.dictionary, width))
+                at = d.indices.to_numpy()
+                pairs = [(sets[x], sets[y]) for x, y in zip(at[: len(b)].tolist(), at[len(b) :].tolist())]
+                both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in pairs]
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(both, pa.int64()), pa.array([len(x) for x, _ in pairs], pa.int64()), pa.array([len(y) for _, y in pairs], pa.int64())], ["a", "b", "both", "na", "nb"])
 
     return run
 
@@ -152,8 +162,10 @@ def _grouped(docs: DataFrame, width: int = 3, k: int = 64, threshold: float = 0.
     counts = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     by_node = Window.partitionBy("node")
     ranked = values.join(counts, "v").select("*", F.count("*").over(by_node).alias("shared"), F.row_number().over(by_node.orderBy("df", "v")).alias("r"))
-    prefix = ranked.filter(F.col("s") - F.col("shared") + F.col("r") <= F.col("s") - F.ceil(F.lit(estimate) * F.col("s")) + 1)
-    lists, lists_path = common.write_table(prefix.select("v", "node", "n", "r"), "lists")
+    # a set of k hashes or fewer is its own sketch; where all that are near enough in size are so too, estimates are exact
+    needed = F.when(F.col("n") <= F.lit(threshold * k), F.lit(threshold)).otherwise(F.lit(estimate))
+    prefix = ranked.filter(F.col("s") - F.col("shared") + F.col("r") <= F.col("s") - F.ceil(needed * F.col("s")) + 1)
+    lists, lists_path = common.write_table(prefix.select("v", "node", "n", "r", "s", "shared"), "lists")
 
     fits = F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m")
     leaders = lists.groupBy("v").agg(F.min(F.struct("node", "n")).alias("l")).select("v", F.col("l.node").alias("b"), F.col("l.n").alias("m"))
@@ -162,9 +174,11 @@ def _grouped(docs: DataFrame, width: int = 3, k: int = 64, threshold: float = 0.
 
     sketch = nodes.select("node", "sk")
     u = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    alike = F.size(F.array_intersect(u, F.array_intersect("sa", "sb"))) >= F.ceil(F.lit(estimate) * F.size(u))
+    exact = (F.col("n") <= k) & (F.col("m") <= k)  # both sketches are the sets themselves
+    alike = F.when(exact, F.size(F.array_intersect("sa", "sb")) >= F.lit(threshold) * F.size(F.array_union("sa", "sb"))).otherwise(F.size(F.array_intersect(u, F.array_intersect("sa", "sb"))) >= F.ceil(F.lit(estimate) * F.size(u)))
 
-    def verified(pairs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    def measured(pairs: DataFrame, name: str) -> tuple[DataFrame, str]:
+        """The written pairs(a, b) with both, na and nb."""
         likely, likely_path = common.write_table(pairs, name)
         used = likely.select(F.col("a").alias("key")).union(likely.select(F.col("b").alias("key"))).distinct()
         if keyed_path:
@@ -173,26 +187,48 @@ def _grouped(docs: DataFrame, width: int = 3, k: int = 64, threshold: float = 0.
         else:
             texts = src.select(F.col("doc_id").alias("key"), "text").join(sized(used, 2 * likely.count()), "key", "left_semi")
         pair_texts = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-        found, path = common.write_table(pair_texts.mapInArrow(_jaccard_batches(width, threshold), "a long, b long"), name)
+        found, path = common.write_table(pair_texts.mapInArrow(_overlap_batches(width), "a long, b long, both long, na long, nb long"), name)
         common.remove(spark, likely_path)
         return found, path
 
-    likely = best.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").filter(alike).select("a", "b")
-    first_edges, first_path = verified(likely, "leaders")
-    first_c, first_c_path = common.write_table(components(first_edges), "components")
-
-    placed, placed_path = common.write_table(lists.join(first_c, "node", "left").select("v", "node", "n", "r", F.coalesce("c", "node").alias("c")), "placed")
-    mixed = placed.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).filter("x < y").select("v", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    def edges(found: DataFrame) -> DataFrame:
+        return found.filter((F.col("both") > 0) & (F.col("both") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("both")))).select("a", "b")
+
+    sized_sketch = nodes.select("node", "n", "sk")
+    likely = best.join(sized_sketch.toDF("a", "n", "sa"), "a").join(sized_sketch.toDF("b", "m", "sb"), "b").filter(alike).select("a", "b")
+    first, first_path = measured(likely, "leaders")
+    first_c, first_c_path = common.write_table(components(edges(first)), "components")
+
+    def several(rows: DataFrame) -> DataFrame:
+        """(v, m): the lists with documents of several components, and how many they have."""
+        return rows.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).filter("x < y").select("v", "m")
+
+    def placed(rows: DataFrame, c: DataFrame) -> DataFrame:
+        return rows.join(c, "node", "left").withColumn("c", F.coalesce("c", "node"))
+
+    # each document of these lists against the smallest of its list
+    mixed, mixed_path = common.write_table((x := placed(lists, first_c)).join(several(x), "v", "left_semi").drop("c"), "mixed")
+    smallest = mixed.groupBy("v").agg(F.min(F.struct("n", "node")).alias("l")).select("v", F.col("l.node").alias("b"))
+    starred = mixed.join(smallest, "v").withColumnRenamed("node", "a")
+    second, second_path = measured(starred.filter("a <> b").select("a", "b").distinct(), "stars")
+    so_far, so_far_path = common.write_table(components(edges(first).unionByName(edges(second))), "components")
+    common_values = F.size(F.array_intersect("sa", "sb"))
+    held = second.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").select("a", "b", "both", "na", "nb", common_values.alias("with_b"))
+    elsewhere = F.col("na") * F.least(F.lit(1.0), (F.col("shared") - F.col("with_b") + F.when(F.col("na") > k, MARGIN).otherwise(0)) / F.col("s"))
+    most = F.least(F.col("both") + elsewhere, F.col("na").cast("double"))
+    x = starred.join(held, ["a", "b"], "left").filter(F.col("both").isNull() | (most >= F.lit(threshold) * (F.col("na") + F.col("nb") - most)))
+    open_, open_path = common.write_table(placed(x.select("v", F.col("a").alias("node"), "n", "r"), so_far), "open")
+
+    # what is left in blocks
     rarer = F.collect_list("v").over(by_node.orderBy("r").rowsBetween(Window.unboundedPreceding, -1))
-    left = placed.join(mixed, "v").withColumn("rarer", rarer).join(sketch, "node")
+    left = open_.join(several(open_).select("v", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "v").withColumn("rarer", rarer).join(sketch, "node")
     one = left.select("v", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.col("node").alias("a"), "n", F.col("c").alias("ca"), F.col("sk").alias("sa"), F.col("rarer").alias("ra"))
     other = left.select("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("cb"), F.col("sk").alias("sb"), F.col("rarer").alias("rb"))
-    # a pair is compared in the rarest list that it shares, once
     enough = F.size(F.array_intersect("sa", "sb")) >= F.ceil(F.lit(estimate) * F.greatest(F.size("sa"), F.size("sb")))
     rest = one.join(other, ["v", "block"]).filter("a < b and ca <> cb").filter(fits).filter(~F.arrays_overlap("ra", "rb")).filter(enough).filter(alike).select("a", "b")
-    second_edges, second_path = verified(rest, "rest")
-    final, final_path = common.write_table(components(first_edges.unionByName(second_edges)), "groups")
-    common.remove(spark, sk_path, lists_path, first_path, second_path, first_c_path, placed_path)
+    third, third_path = measured(rest, "rest")
+    final, final_path = common.write_table(components(edges(first).unionByName(edges(second)).unionByName(edges(third))), "groups")
+    common.remove(spark, sk_path, lists_path, first_path, second_path, third_path, first_c_path, so_far_path, mixed_path, open_path)
 
     return members.join(final, "node", "left").select("doc_id", "digest", "key", F.coalesce("c", "node").alias("c")), several
 
@@ -202,7 +238,7 @@ def near_groups(docs: DataFrame, **options) -> DataFrame:
 
     Two documents are near copies if the Jaccard similarity of their sets of
     word runs (``width`` words) is at least ``threshold``; groups are the connected components.
-    Pairs whose sketches (of ``k`` hashes) estimate less than ``estimate`` aren't verified. Equal
+    Pairs whose sketches (of ``k`` hashes) estimate less than ``estimate`` aren't verified, nor are pairs that the bound from their list's smallest document excludes. Equal
     sets are always found. Rows without doc_id and texts without a word (null,
     empty, white space) are in no group. Only rows of equal doc_id and text are repeats of
     one document. Different texts that share a doc_id are documents of their own, so such a doc_id may be in
