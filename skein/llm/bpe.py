@@ -407,6 +407,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, dictionary_words: int
     aren't read.
     """
     shards = build_dictionary(docs, vocabulary, dictionary_words)
+    common.release(docs.sparkSession)  # of the words' shuffle
     merger = Merger(vocabulary)
     x = docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"))
     schema = T.StructType([*x.schema.fields, T.StructField("segs", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("miss", T.ArrayType(T.BinaryType()))])

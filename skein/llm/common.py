@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -54,6 +55,12 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are over: its cleaner learns of them when Python and the driver's JVM collect garbage, which long jobs else do late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df to the shared folder, which cuts its lineage; gives the table and its path."""
     spark = df.sparkSession
