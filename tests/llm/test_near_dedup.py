@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from skein.llm import near_dedup
@@ -95,6 +96,51 @@ def test_a_passage_in_very_many_documents(spark):
     assert set(got) <= set(want) and sum(got.get(i) == g for i, g in want.items()) >= 0.98 * len(want)
 
 
+def test_strangers_that_share_phrases_cost_no_verification(spark, monkeypatch):
+    rnd = random.Random(4)
+    phrases = [" ".join(f"p{i}x{k}" for k in range(5)) for i in range(60)]
+    docs = []
+    for i in range(200):
+        parts = [f"u{i}x{k}" for k in range(30)] + rnd.sample(phrases, 12)
+        rnd.shuffle(parts)
+        docs.append((i, " ".join(parts)))
+    docs += [(1000 + i, docs[i][1] + " more") for i in range(0, 200, 20)]
+    verified, write = [], near_dedup.common.write_table
+
+    def counted(df, name):
+        out = write(df, name)
+        if "both" in df.columns:
+            verified.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(near_dedup.common, "write_table", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.group_id for r in near_dedup.near_groups(df).collect()}
+    assert got == brute(docs)
+    assert 10 <= sum(verified) <= 30  # the ten pairs, and few more
+
+
+def test_lists_in_many_blocks(spark, monkeypatch):
+    for name, value in (("SHORT", 100), ("BLOCK", 16), ("ROWS", 64)):
+        monkeypatch.setattr(near_dedup, name, value, raising=False)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(i, " ".join(f"u{i}x{k}" for k in range(30 if i % 3 else 75)) + " " + passage) for i in range(150)] + [(900 + i, " ".join(f"q{k}" for k in range(40)) + f" v{i} w{i} x{i} y{i}") for i in range(60)]
+    got = {r.doc_id: r.group_id for r in near_dedup.near_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    want = brute(docs)
+    assert set(got) <= set(want) and sum(got.get(i) == g for i, g in want.items()) >= 0.98 * len(want)
+
+
+def test_shared_counts(monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 20))) for _ in range(80)]
+    group, c = rng.integers(0, 4, 80), rng.integers(0, 30, 80)
+    want = {(i, j): n for i, j in combinations(range(80), 2) if group[i] == group[j] and c[i] != c[j] and (n := len(np.intersect1d(sets[i], sets[j])))}
+    off = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    for at_once in (50, 1 << 20):
+        monkeypatch.setattr(near_dedup, "COUNTED", at_once)
+        assert {(i, j): n for i, j, n in zip(*(x.tolist() for x in near_dedup._shared_counts(group, off, np.concatenate(sets), c)))} == want
+
+
 def test_order_of_rows_and_clashing_columns(spark):
     words = lambda k: " ".join(f"{k}{i}" for i in range(40))
     rows = [(1, words("t")), (2, words("o")), (2, words("t") + " more"), (3, words("o") + " x")]
