@@ -398,16 +398,17 @@ def build_dictionary(docs: DataFrame, vocabulary: str = VOCABULARY, size: int =
     return shards
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, dictionary_words: int = DICTIONARY_WORDS, keep_text: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, dictionary_words: int = DICTIONARY_WORDS, keep_text: bool = False, shards: list[digests.Shard] | None = None) -> DataFrame:
     """(doc_id, n_tokens, token_ids) for each row of docs.
 
     A null or empty text has no tokens, a text of any length is encoded whole. Rows with null or repeated doc_id have
     rows of their own; an empty table gives an empty result. Special tokens'
     strings are ordinary text. keep_text adds the text; other columns of docs
-    aren't read.
+    aren't read. shards is a dictionary that is there already.
     """
-    shards = build_dictionary(docs, vocabulary, dictionary_words)
-    common.release(docs.sparkSession)  # of the words' shuffle
+    if shards is None:
+        shards = build_dictionary(docs, vocabulary, dictionary_words)
+        common.release(docs.sparkSession)  # of the words' shuffle
     merger = Merger(vocabulary)
     x = docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"))
     schema = T.StructType([*x.schema.fields, T.StructField("segs", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("miss", T.ArrayType(T.BinaryType()))])

@@ -11,6 +11,8 @@ boundaries. Only positions of separators leave a task, never tokens.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,18 +27,21 @@ from . import bpe, common
 EOD = 50256
 DTYPE = "<u2"
 BLOCK_BYTES = 32 << 20
+#: Parts of a table whose flat files exist one after the other, as the files of all are larger than the table.
+PARTS = 2
 
 
-def write_files(tokens: DataFrame, eod: int = EOD, dtype: str = DTYPE) -> tuple[DataFrame, DataFrame]:
+def write_files(tokens: DataFrame, eod: int = EOD, dtype: str = DTYPE, uri: str = "", members_uri: str = "") -> tuple[DataFrame, DataFrame]:
     """Writes tokens(doc_id, token_ids) to flat files of the shared folder, one a partition.
 
     Gives files(path, bytes) and members(path, ordinal, doc_id), which says whose
     document is the ordinal-th of a file. A null array is an empty document. A
     file gets its name when it is whole, so a repeated task does no harm. An id
-    that equals eod or doesn't fit the type is an error.
+    that equals eod or doesn't fit the type is an error. uri and members_uri are where
+    files and members go, new paths of the shared folder if not given.
     """
     spark = tokens.sparkSession
-    uri = common.new_path(spark, "tokens")
+    uri = uri or common.new_path(spark, "tokens")
     most = np.iinfo(np.dtype(dtype)).max
 
     def write(batches):
@@ -64,7 +69,9 @@ def write_files(tokens: DataFrame, eod: int = EOD, dtype: str = DTYPE) -> tuple[
             fs.delete_file(tmp)
 
     x = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("token_ids").cast("array<int>").alias("token_ids"))
-    members, _ = common.write_table(x.mapInArrow(write, "path string, ordinal long, doc_id long"), "members")
+    members_uri = members_uri or common.new_path(spark, "members")
+    x.mapInArrow(write, schema := "path string, ordinal long, doc_id long").write.parquet(members_uri)
+    members = spark.read.schema(schema).parquet(members_uri)
     return with_sizes(members.select("path").distinct()), members
 
 
@@ -141,7 +148,19 @@ def document_counts(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, block_byt
 
     A null or empty text has none. Rows with null or repeated doc_id have rows of
     their own. An empty table gives an empty result; other columns aren't read.
+    Rows fall into PARTS by a hash; the files of a part are deleted once its documents are counted.
     """
-    files, members = write_files(bpe.encode(docs, vocabulary), EOD, DTYPE)
-    counts = count_tokens(files, EOD, DTYPE, block_bytes)
-    return members.join(counts, ["path", "ordinal"]).select("doc_id", "n_tokens")
+    spark = docs.sparkSession
+    docs = docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"))
+    shards = bpe.build_dictionary(docs, vocabulary)
+    common.release(spark)  # of the words' shuffle
+    counted = []
+    for part in range(PARTS):
+        own = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS)) == part)
+        uri, members_uri = common.new_path(spark, "tokens"), common.new_path(spark, "members")
+        files, members = write_files(bpe.encode(own, vocabulary, shards=shards), EOD, DTYPE, uri, members_uri)
+        counts = members.join(count_tokens(files, EOD, DTYPE, block_bytes), ["path", "ordinal"]).select("doc_id", "n_tokens")
+        counted.append(common.write_table(counts, "counts")[0])
+        common.remove(spark, uri, members_uri)
+        common.release(spark)
+    return reduce(DataFrame.unionByName, counted)

@@ -50,6 +50,25 @@ def test_merges_of_long_words():
         assert bpe.merge_long(w, ranks) == enc._core_bpe.encode_single_piece(w)
 
 
+def test_flat_files_of_a_part_are_deleted_before_the_next(spark, monkeypatch):
+    import os
+
+    left, write = [], token_counts.write_files
+
+    def files(*args):
+        root = common.shared_dir(spark).removeprefix("file://")
+        before = {d for d in os.listdir(root) if d.startswith("tokens-")} if os.path.isdir(root) else set()
+        left.append(before)
+        return write(*args)
+
+    monkeypatch.setattr(token_counts, "write_files", files)
+    rows = [(i, "word " * i) for i in range(40)] + [(None, "one"), (None, None), (7, "word " * 7)]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in token_counts.document_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in bpe.encode(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == want and len(got) == len(rows)
+    assert len(left) > 1 and all(x == left[0] for x in left)
+
+
 def test_token_files(spark):
     eod, rnd = 9, random.Random(2)
     docs = [[rnd.randrange(9) for _ in range(rnd.choice([0, 0, 1, 3, 50, 400]))] for _ in range(120)]
