@@ -17,9 +17,11 @@ def page_content(url: Column, title: Column, crawled_at: Column, markdown: Colum
     return F.concat(F.lit("# "), title, F.lit("\n\nURL: "), url, F.lit("\nCrawled at: "), F.coalesce(crawled_at.cast("string"), F.lit("")), F.lit("\n\n"), markdown, F.lit("\n"))
 
 
-def files(results: DataFrame, folder: str, mirror: bool = False) -> DataFrame:
-    """(path, content) of the Markdown files; of pages that share a path the greatest address counts."""
-    x = results.select(urls.file_path("url", folder, mirror).alias("path"), "url", page_content(F.col("url"), F.col("title"), F.col("crawled_at"), F.col("markdown")).alias("content"))
+def files(results: DataFrame, folder: str, mirror: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(path, content) of the Markdown files; of pages that share a path the greatest address counts, and of rows that share that the first by the columns of by, else the least content."""
+    content = page_content(F.col("url"), F.col("title"), F.col("crawled_at"), F.col("markdown"))
+    x = results.select(urls.file_path("url", folder, mirror).alias("path"), "url", F.struct(*by, content.alias("content__")).alias("first"))
+    x = x.groupBy("path", "url").agg(F.min("first")["content__"].alias("content"))
     return x.groupBy("path").agg(F.max_by("content", "url").alias("content"))
 
 
