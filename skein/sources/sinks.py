@@ -84,9 +84,9 @@ def report_text(pages: DataFrame, words: DataFrame, edges: DataFrame, top: int =
     return n.crossJoin(w).crossJoin(g).select(F.concat("a", "b", F.lit("\n## Link Graph\n\n"), "c", F.lit("\n")).alias("content"))
 
 
-def json_array(results: DataFrame, *by: str) -> DataFrame:
-    """One row: all rows as an array of JSON objects, in the order of by. A report for what one machine can hold; write_json writes lines."""
-    rows = F.array_sort(F.collect_list(F.struct(*by, F.to_json(F.struct(*[F.col(f"`{c}`") for c in results.columns])).alias("t__"))))
+def json_array(results: DataFrame, *by: str, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """One row: all rows as an array of JSON objects of fields (all columns if not given), in the order of by. A report for what one machine can hold; write_json writes lines."""
+    rows = F.array_sort(F.collect_list(F.struct(*by, F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields or results.columns])).alias("t__"))))
     return results.agg(F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: r["t__"]), ","), F.lit("]")).alias("content"))
 
 
